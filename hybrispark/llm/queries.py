@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hybrispark.llm.leakage import leaked_items
 from hybrispark.llm.splitting import split_items
 from hybrispark.llm.term_frequency import term_frequency
 from hybrispark.llm.token_ids import token_ids
 from hybrispark.llm.top_items import top_probes
+from hybrispark.llm.toxicity import passage_scores, source_rates, toxicity_scores
 from hybrispark.session import read_table
 
 
@@ -37,6 +40,31 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read_table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each test item leaked."""
+    items = read_table(spark, sf_dir, "benchmark").select("item_id")
+    leaks = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return items.join(leaks, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of abusive, hateful or sexual content for every document."""
+    return toxicity_scores(read_table(spark, sf_dir, "documents"))
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_rates(read_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worst = passage_scores(read_table(spark, sf_dir, "documents")).where("score >= 0.5")
+    return worst.where("doc_id IS NOT NULL").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_terms": p1_terms,
     "p1_found": p1_found,
@@ -44,6 +72,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 
 _P1_TERMS = """

@@ -103,6 +103,10 @@ def _lookup(word: Column, values: dict[str, int]) -> Column:
     return out.otherwise(0)
 
 
+def _sum_pairs(pairs: Column, values: dict[str, int]) -> Column:
+    return F.aggregate(pairs, F.lit(0), lambda acc, p: acc + _lookup(p, values))
+
+
 def duplex_energy(seq: Column) -> tuple[Column, Column]:
     """Enthalpy and entropy in tenths of a sequence in upper case with its complement, without salt."""
     starts = F.sequence(F.lit(1), F.length(seq) - 1)
@@ -110,8 +114,7 @@ def duplex_energy(seq: Column) -> tuple[Column, Column]:
     total = []
     for values, end in ((ENTHALPY, 0), (ENTROPY, 1)):
         ends = {b: t[end] for b, t in TERMINAL.items()}
-        inner = F.aggregate(pairs, F.lit(0), lambda acc, p, values=values: acc + _lookup(p, values))
-        total.append(inner + _lookup(F.substr(seq, F.lit(1), F.lit(1)), ends) + _lookup(F.substr(seq, F.length(seq), F.lit(1)), ends))
+        total.append(_sum_pairs(pairs, values) + _lookup(F.substr(seq, F.lit(1), F.lit(1)), ends) + _lookup(F.substr(seq, F.length(seq), F.lit(1)), ends))
     return total[0], total[1]
 
 

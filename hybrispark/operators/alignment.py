@@ -51,7 +51,7 @@ MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2, -6, -5, -3
 
 def build_seed_index(genome: DataFrame, seed: int = 20, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
     """(seed, align_seqid, pos) of every word of ``seed`` letters A, C, G, T."""
-    pieces = chunks(genome, id_col, seq_col, 10_000, seed - 1)
+    pieces = chunks(genome, id_col, seq_col, 256, seed - 1)
     words = pieces.select("seq_id", "offset", F.posexplode(kmers("piece", seed)).alias("i", "seed"))
     return words.where(F.col("seed").rlike("^[ACGT]+$")).select(
         "seed", F.col("seq_id").alias("align_seqid"), (F.col("offset") + F.col("i")).alias("pos")

@@ -16,8 +16,8 @@ def canonical(word: Column) -> Column:
 
 
 def _words(df: DataFrame, id_col: str, seq_col: str, k: int, both_strands: bool) -> DataFrame:
-    # Chunks with a halo keep the array of words of a row short, however long the sequence.
-    pieces = chunks(df, id_col, seq_col, 10_000, k - 1)
+    # Chunks with a halo keep rows short: a word is cut in time with its place in the row.
+    pieces = chunks(df, id_col, seq_col, 256, k - 1)
     words = pieces.select(F.explode(kmers("piece", k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
     return words.select(canonical(F.col("kmer")).alias("kmer")) if both_strands else words
 

@@ -8,7 +8,7 @@ flat array over which prefix sums give every window's energies and counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -72,13 +72,19 @@ def config(**settings) -> MiningConfig:
     return MiningConfig(**settings, conditions=Conditions(**salts))
 
 
-def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, *carry, offset, total, piece): pieces of ``size`` letters, each with ``halo`` more of what follows."""
-    n = F.length(df[seq_col])
-    cut = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))).alias("offset")
-    rows = df.where(n > 0).select(df[id_col].alias("seq_id"), *carry, df[seq_col].alias("__seq"), cut)
-    piece = F.substr("__seq", F.col("offset") + 1, F.lit(size + halo))
-    return rows.select("seq_id", *carry, "offset", F.length("__seq").alias("total"), F.upper(piece).alias("piece"))
+def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int) -> DataFrame:
+    """(seq_id, offset, total, piece): pieces of ``size`` letters, each with ``halo`` more of what follows.
+
+    Pieces are in upper case; letters beyond ASCII, which are no bases, come
+    out as N.  Cutting bytes takes time in proportion to the sequence, however
+    many pieces it gives.  Null and empty sequences give nothing.
+    """
+    ascii_only = F.when(F.col("s").rlike(r"[^\x00-\x7F]"), F.regexp_replace("s", r"[^\x00-\x7F]", "N")).otherwise(F.col("s"))
+    rows = df.select(df[id_col].alias("seq_id"), df[seq_col].alias("s")).where("s <> ''").select("seq_id", ascii_only.cast("binary").alias("s"))
+    starts = F.sequence(F.lit(0), F.octet_length("s") - 1, F.lit(size))
+    pieces = F.transform(starts, lambda o: F.struct(o.alias("offset"), F.substr("s", o + 1, F.lit(size + halo)).alias("piece")))
+    cut = rows.select("seq_id", F.octet_length("s").alias("total"), F.explode(pieces).alias("x"))
+    return cut.select("seq_id", "x.offset", "total", F.upper(F.col("x.piece").cast("string")).alias("piece"))
 
 
 _CODE = np.full(256, 4, np.uint8)

@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hybrispark import oracles
+from hybrispark.functions import seqfn, thermo
+from hybrispark.functions.thermo import Conditions
+from hybrispark.operators import annotation, appending, duplex, kmers, sam, scoring
+from hybrispark.operators.alignment import align
 from hybrispark.operators.interval_cover import cover_and_gaps
+from hybrispark.operators.mining import config, mine, tm_grid
 from hybrispark.operators.packed_values import split_packed_values
+from hybrispark.plans import pipeline
 from hybrispark.session import read_table
+from hybrispark.sources import sinks
+from hybrispark.sources.files import chromosome_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +42,438 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_and_gaps(exons, ["seqid", "gene_id"], "start", "end")
 
 
-QUERIES: dict[str, Query] = {"p2_values": p2_values, "p2_found": p2_found, "p4_found": p4_found}
+# --- inputs ---------------------------------------------------------------
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, seq): the sequences of mine_probes, each delivery once, keyed by mine_id."""
+    rows = read_table(spark, sf_dir, "mine_probes").where("mine_id IS NOT NULL AND seq IS NOT NULL")
+    keyed = rows.select(F.concat(F.lit("m"), F.col("mine_id")).alias("seq_id"), seqfn.clean_sequence("seq").alias("seq"))
+    return keyed.groupBy("seq_id").agg(F.max("seq").alias("seq")).where("seq <> ''")
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(probe_id, seqid, seq_id, start, stop, probe_seq, tm, max_kmer): test_probes in clean letters, each id once."""
+    rows = read_table(spark, sf_dir, "test_probes").where("probe_id IS NOT NULL")
+    clean = rows.select("probe_id", "seqid", "seq_id", "start", "stop", seqfn.clean_sequence("probe_seq").alias("probe_seq"), "tm", "max_kmer")
+    return clean.distinct()
+
+
+def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exon records with parsed attributes, each delivery once, on well-formed bounds."""
+    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL AND source = 'havlab' AND attributes IS NOT NULL")
+    rows = rows.drop("loaded_at", "gene_id").distinct()
+    parsed = annotation.parse_attributes(rows)
+    return parsed.where(F.lower(F.trim("type")) == "exon").where("start < `end` AND strand IN ('+', '-') AND transcript_id <> ''")
+
+
+# --- scans, scalars ---------------------------------------------------------
+
+
+def dna_scan(spark, sf_dir):
+    return sequences(spark, sf_dir)
+
+
+def chrom_sizes(spark, sf_dir):
+    return chromosome_sizes(sequences(spark, sf_dir))
+
+
+def rev_comp(spark, sf_dir):
+    return probes(spark, sf_dir).select("probe_id", seqfn.rev_comp("probe_seq").alias("rc"))
+
+
+def gc_content(spark, sf_dir):
+    p = probes(spark, sf_dir)
+    return p.select("probe_id", F.round(seqfn.gc_content("probe_seq"), 6).alias("gc"), F.round(seqfn.gc_content("probe_seq", True), 4).alias("gc_percent"))
+
+
+def clamp_values(spark, sf_dir):
+    return probes(spark, sf_dir).select("probe_id", seqfn.clamp("tm", 30.0, 42.5).alias("tm"))
+
+
+def kmer_words(spark, sf_dir):
+    return probes(spark, sf_dir).select("probe_id", F.posexplode(seqfn.kmers("probe_seq", 12)).alias("pos", "kmer"))
+
+
+def interval_labels(spark, sf_dir):
+    e = exons(spark, sf_dir).select(seqfn.interval_label("seqid", "start", "end", "strand").alias("label")).distinct()
+    at = seqfn.parse_label("label")
+    return e.select("label", at["seqid"].alias("seqid"), at["start"].alias("start"), at["end"].alias("stop"), at["strand"].alias("strand"))
+
+
+def local_to_genomic(spark, sf_dir):
+    e = exons(spark, sf_dir).select(seqfn.interval_label("seqid", "start", "end", "strand").alias("label")).distinct()
+    g = seqfn.local_to_genomic("label", F.lit(3), F.lit(33))
+    return e.select("label", g["seqid"].alias("seqid"), g["start"].alias("start"), g["end"].alias("stop"))
+
+
+def probe_tm(spark, sf_dir):
+    return probes(spark, sf_dir).select("probe_id", F.round(thermo.melting_temperature("probe_seq"), 4).alias("tm"))
+
+
+def probe_tm_salt(spark, sf_dir):
+    c = Conditions(Na=50, K=10, Tris=10, Mg=3, dNTPs=1, pct_formamide=0)
+    return probes(spark, sf_dir).select("probe_id", F.round(thermo.melting_temperature("probe_seq", c), 4).alias("tm"))
+
+
+def pdup_two_state(spark, sf_dir):
+    return probes(spark, sf_dir).select("probe_id", F.round(thermo.duplex_probability("probe_seq", temperature=60.0), 6).alias("pdup"))
+
+
+def pdup_competitive(spark, sf_dir):
+    both = thermo.competitive_probability("probe_seq", F.lit(2), temperature=60.0)
+    p = probes(spark, sf_dir).select("probe_id", both.alias("x"))
+    return p.select("probe_id", F.round("x.on_target", 6).alias("on_target"), F.round("x.off_target", 6).alias("off_target"))
+
+
+# --- mining -------------------------------------------------------------------
+
+
+def _mined(**settings) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return mine(sequences(spark, sf_dir), cfg=config(**settings))
+
+    return run
+
+
+def tm_windows(spark, sf_dir):
+    g = tm_grid(sequences(spark, sf_dir), "seq_id", "seq")
+    return g.select("seq_id", "length", "n_windows", *[F.round(c, 3).alias(c) for c in ("min_tm", "max_tm", "mean_tm")])
+
+
+MINING = {
+    "mine_default": {},
+    "mine_target": {"tm_target": 44.5},
+    "mine_exhaustive": {"exhaustive": True},
+    "mine_prohibited": {"prohibited": ("CCCC", "gatc")},
+    "mine_no_homopolymer": {"max_homopolymer": None},
+    "mine_lengths": {"min_length": 35, "max_length": 40},
+    "mine_salt": {"Na": 50, "Mg": 2, "pct_formamide": 0, "min_tm": 58, "max_tm": 63},
+    "mine_gc": {"min_gc": 40, "max_gc": 60},
+    "mine_no_overlap": {"overlap": False},
+    "mine_spacing": {"spacing": 10},
+}
+
+# --- k-mers -------------------------------------------------------------------
+
+
+def kmer_count(spark, sf_dir):
+    return kmers.build_kmer_index(sequences(spark, sf_dir), k=18)
+
+
+def kmer_canonical(spark, sf_dir):
+    return kmers.build_kmer_index(sequences(spark, sf_dir), k=11, canonical=True, lower=2)
+
+
+def kmer_query(spark, sf_dir):
+    words = probes(spark, sf_dir).select("probe_id", F.substr("probe_seq", F.lit(1), F.lit(11)).alias("kmer")).where(F.length("kmer") == 11)
+    index = kmers.build_kmer_index(sequences(spark, sf_dir), k=11)
+    return kmers.query_kmers(index, words)
+
+
+def max_kmer(spark, sf_dir):
+    index = kmers.build_kmer_index(probes(spark, sf_dir).where("probe_seq IS NOT NULL"), "probe_id", "probe_seq", 18)
+    return kmers.add_max_kmer(probes(spark, sf_dir).drop("max_kmer"), index).select("probe_id", "max_kmer")
+
+
+# --- alignments -----------------------------------------------------------------
+
+
+def _sam(spark, sf_dir):
+    p = probes(spark, sf_dir).where("probe_seq IS NOT NULL AND seq_id IS NOT NULL AND start IS NOT NULL")
+    n = F.length("probe_seq")
+    cigar = F.when(F.col("probe_id") % 3 == 0, F.format_string("%dS%dM", F.lit(5), n - 5)).when(
+        F.col("probe_id") % 3 == 1, F.format_string("%dM2I%dM1D3H", F.lit(10), n - 12)
+    ).otherwise(F.format_string("%dM", n))
+    tags = F.when(F.col("probe_id") % 4 == 0, F.lit("NM:i:1")).otherwise(F.format_string("NM:i:0\tAS:i:-%d", F.col("probe_id") % 30))
+    flag = F.when(F.col("probe_id") % 2 == 0, 16).otherwise(0)
+    ref = F.when(F.col("probe_id") % 50 == 0, "*").otherwise(F.col("seq_id"))
+    return p.select(
+        F.concat_ws("\t", F.concat(F.lit("p"), F.col("probe_id").cast("string")), flag.cast("string"), ref, (F.col("start") % 400 + 1).cast("string"), F.lit("42"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), "probe_seq", F.lit("*"), tags).alias("value")
+    ).where(n > 14)
+
+
+def sam_to_bed(spark, sf_dir):
+    return sam.sam_to_bed(_sam(spark, sf_dir))
+
+
+def bed_text(spark, sf_dir):
+    return sam.bed_text(sam.sam_to_bed(_sam(spark, sf_dir)))
+
+
+def _intervals(spark, sf_dir):
+    """Intervals on the sequences of mine_probes, derived from the probes."""
+    p = probes(spark, sf_dir).where("start IS NOT NULL AND stop IS NOT NULL")
+    return p.select(
+        "probe_id",
+        F.concat(F.lit("m"), (F.col("probe_id") % 60 + 1).cast("string")).alias("align_seqid"),
+        (F.col("start") * 3 - 40).alias("align_start"),
+        (F.col("stop") * 3 + 40).alias("align_stop"),
+        F.when(F.col("probe_id") % 2 == 0, "-").otherwise("+").alias("align_strand"),
+    )
+
+
+def trim_coords(spark, sf_dir):
+    sizes = sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("size"))
+    return sam.trim_to_ends(_intervals(spark, sf_dir), sizes)
+
+
+def fetch_seq(spark, sf_dir):
+    trimmed = trim_coords(spark, sf_dir).where("align_start < align_stop")
+    return sam.fetch_sequences(trimmed, sequences(spark, sf_dir))
+
+
+def _mutated(spark, sf_dir):
+    """Mined probes whose base 25 is changed for its complement."""
+    mined = mine(sequences(spark, sf_dir), cfg=config(spacing=200))
+    s = F.col("probe_seq")
+    return mined.withColumn(
+        "probe_seq", F.concat(F.substr(s, F.lit(1), F.lit(24)), seqfn.rev_comp(F.substr(s, F.lit(25), F.lit(1))), F.substr(s, F.lit(26)))
+    )
+
+
+def align_topk(spark, sf_dir):
+    """Probes with a mismatch aligned to the sequences of mine_probes, the 3 best places of each."""
+    return align(_mutated(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive-local", k=3)
+
+
+def align_end_to_end(spark, sf_dir):
+    mined = mine(sequences(spark, sf_dir), cfg=config(spacing=200))
+    return align(mined, sequences(spark, sf_dir), preset="very-sensitive", k=None).drop("derived_seq")
+
+
+# --- merging, scoring, models -----------------------------------------------------
+
+
+def _merged(spark, sf_dir):
+    """Probes with the scores' rows as their alignments."""
+    p = probes(spark, sf_dir).select("seqid", "seq_id", "start", "stop").where("seqid IS NOT NULL").distinct()
+    s = read_table(spark, sf_dir, "scoring").where("seqid IS NOT NULL AND on_target_score IS NOT NULL AND NOT isnan(on_target_score)")
+    a = s.select(
+        "score_id", "seqid",
+        F.regexp_extract("seqid", r"^(.*):\d+-\d+$", 1).alias("align_seqid"),
+        (F.regexp_extract("seqid", r":(\d+)-\d+$", 1).cast("int") + F.when(F.col("score_id") % 3 == 0, 7).otherwise(0)).cast("int").alias("align_start"),
+        F.col("on_target_score").alias("duplex_pred"),
+    )
+    return scoring.label_on_target(scoring.merge_alignments(p, a))
+
+
+def merge_probes(spark, sf_dir):
+    return _merged(spark, sf_dir).drop("duplex_pred")
+
+
+def score_probes(spark, sf_dir):
+    s = scoring.score_probes(_merged(spark, sf_dir))
+    return s.select("seqid", *[F.round(c, 6).alias(c) for c in ("on_target_score", "off_target_score")])
+
+
+def _pairs(spark, sf_dir):
+    p = probes(spark, sf_dir).where("probe_seq <> ''")
+    return p.select("probe_id", "probe_seq", F.reverse("probe_seq").alias("derived_seq"), (F.col("probe_id") % 60 - 5).cast("int").alias("align_score"))
+
+
+def lda_predict(spark, sf_dir):
+    out = _pairs(spark, sf_dir)
+    for t in duplex.DISCRIMINANT:
+        out = duplex.predict_discriminant(out, t, out=f"pred_{t}")
+    return out.select("probe_id", *[F.round(f"pred_{t}", 6).alias(f"pred_{t}") for t in duplex.DISCRIMINANT])
+
+
+def xgb_features(spark, sf_dir):
+    cols = duplex.tree_features()
+    rounded = {n: F.round(c, 4) if n.endswith("_gc") else c for n, c in cols.items()}
+    return _pairs(spark, sf_dir).select("probe_id", *[c.alias(n.lower()) for n, c in rounded.items()])
+
+
+# --- text forms --------------------------------------------------------------------
+
+
+def _whole_probes(spark, sf_dir):
+    return probes(spark, sf_dir).where("seq_id IS NOT NULL AND probe_seq IS NOT NULL AND tm IS NOT NULL")
+
+
+def probe_bed_text(spark, sf_dir):
+    return sinks.bed_lines(_whole_probes(spark, sf_dir))
+
+
+def probe_fastq_text(spark, sf_dir):
+    return sinks.fastq_lines(_whole_probes(spark, sf_dir))
+
+
+def probe_csv_text(spark, sf_dir):
+    return sinks.csv_lines(_whole_probes(spark, sf_dir))
+
+
+def fasta_text(spark, sf_dir):
+    p = _whole_probes(spark, sf_dir).where("probe_seq <> ''").select(F.col("probe_id").cast("string").alias("seq_id"), F.concat("probe_seq", "probe_seq").alias("seq"))
+    return sinks.fasta_lines(p)
+
+
+# --- annotation ---------------------------------------------------------------------
+
+
+def gtf_attributes(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL AND source = 'havlab'").select("rec_id", "attributes").distinct()
+    return annotation.parse_attributes(rows)
+
+
+def gtf_filter(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "gtf_io").drop("loaded_at")
+    return annotation.filter_annotation(rows, None, "exon", "^chr", "X").select("rec_id", "seqid", "start", "end").distinct()
+
+
+def classify_ids(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "test_probes").select("seq_id").where("seq_id IS NOT NULL").distinct()
+    return ids.select("seq_id", annotation.classify_ids("seq_id").alias("class"))
+
+
+def filter_ids(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "test_probes").select("seq_id").distinct()
+    return annotation.filter_ids(ids, "chr|ctg", r"\(-\)")
+
+
+def _genome(spark, sf_dir):
+    """Sequences of mine_probes under the names the annotation uses, numbered among all of its names."""
+    names = read_table(spark, sf_dir, "gtf_io").select("seqid").where("seqid IS NOT NULL").distinct()
+    seqs = sequences(spark, sf_dir).select(F.substr("seq_id", F.lit(2)).cast("int").alias("m"), "seq")
+    keyed = names.select("seqid", (F.pmod(F.length("seqid") * 7 + F.ascii(F.reverse("seqid")), F.lit(60)) + 1).alias("m"))
+    return keyed.join(seqs, "m").select(F.col("seqid").alias("seq_id"), "seq")
+
+
+def exon_seqs(spark, sf_dir):
+    return annotation.exon_sequences(exons(spark, sf_dir), _genome(spark, sf_dir))
+
+
+def introns(spark, sf_dir):
+    return annotation.introns(exons(spark, sf_dir), "transcript_id_full")
+
+
+def spliced_seq(spark, sf_dir):
+    rows = exons(spark, sf_dir).select("transcript_id_full", "seqid", "start", "end", "strand").distinct()
+    return annotation.spliced_sequences(rows, _genome(spark, sf_dir), "transcript_id_full")
+
+
+def flatten_isoforms(spark, sf_dir):
+    return annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id").drop("score")
+
+
+def mine_flattened(spark, sf_dir):
+    flat = annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
+    return pipeline.mine_flattened(flat, _genome(spark, sf_dir))
+
+
+# --- appending -----------------------------------------------------------------------
+
+
+def _targets(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    bases = F.translate(F.substr(F.md5(F.col("p_partkey").cast("string")), F.lit(1), F.lit(24)), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return p.select(F.col("p_partkey").alias("probe_ord"), F.col("p_brand").alias("target"), bases.alias("probe_seq"))
+
+
+def _set(n: int) -> list[tuple[str, str]]:
+    """A set of ``n`` sequences of eight bases, by rule."""
+    return [(f"s{i + 1}", "".join("ACGT"[(i * 7 + j * (i % 5 + 1)) % 4] for j in range(8))) for i in range(n)]
+
+
+def append_same(spark, sf_dir):
+    return appending.append_same(_targets(spark, sf_dir), _set(3)).select("probe_ord", "sequence", "entry")
+
+
+def append_unique(spark, sf_dir):
+    return appending.append_unique(_targets(spark, sf_dir), _set(60), "target", rc=True).select("probe_ord", "sequence", "entry")
+
+
+def append_multiple(spark, sf_dir):
+    return appending.append_multiple(_targets(spark, sf_dir), _set(180), 3, "target", left=False).select("probe_ord", "sequence", "entry")
+
+
+def append_custom(spark, sf_dir):
+    return appending.append_custom(_targets(spark, sf_dir), _set(3), ["1-50", "40-90", "120-150"]).select("probe_ord", "sequence", "entry")
+
+
+def append_saber(spark, sf_dir):
+    return appending.append_saber(_targets(spark, sf_dir), _set(60), target="target").select("probe_ord", "sequence", "entry")
+
+
+def master_table(spark, sf_dir):
+    p = appending.append_same(_targets(spark, sf_dir), _set(3), label="outer")
+    p = appending.append_unique(p, _set(60), "target", left=False, label="inner")
+    return appending.appending_table(p, "probe_ord", ["outer", "inner"])
+
+
+def append_barcodes(spark, sf_dir):
+    codes = ["".join("1" if j in {i % 16, (i + 3) % 16, (i + 7) % 16, (i + 12) % 16} else "0" for j in range(16)) for i in range(60)]
+    return appending.append_barcodes(_targets(spark, sf_dir), _set(16), codes, "target").select("probe_ord", "target", "sequence")
+
+
+# --- the whole pipeline ----------------------------------------------------------------
+
+
+def pipeline_flagship(spark, sf_dir):
+    """Mine with a spacing, count k-mers, align, predict and score."""
+    done = pipeline.design_probes(sequences(spark, sf_dir), cfg=config(spacing=100), max_alignments=20)
+    scored = done.probes.join(done.scores, "seqid", "left")
+    return scored.select("seqid", "probe_seq", "tm", "max_kmer", F.round("on_target_score", 6).alias("on_target_score"), F.round("off_target_score", 6).alias("off_target_score"))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_values": p2_values,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "dna_scan": dna_scan,
+    "chrom_sizes": chrom_sizes,
+    "rev_comp": rev_comp,
+    "gc_content": gc_content,
+    "clamp_values": clamp_values,
+    "kmer_words": kmer_words,
+    "interval_labels": interval_labels,
+    "local_to_genomic": local_to_genomic,
+    "probe_tm": probe_tm,
+    "probe_tm_salt": probe_tm_salt,
+    "pdup_two_state": pdup_two_state,
+    "pdup_competitive": pdup_competitive,
+    "tm_windows": tm_windows,
+    "kmer_count": kmer_count,
+    "kmer_canonical": kmer_canonical,
+    "kmer_query": kmer_query,
+    "max_kmer": max_kmer,
+    "sam_to_bed": sam_to_bed,
+    "bed_text": bed_text,
+    "trim_coords": trim_coords,
+    "fetch_seq": fetch_seq,
+    "align_topk": align_topk,
+    "align_end_to_end": align_end_to_end,
+    "merge_probes": merge_probes,
+    "score_probes": score_probes,
+    "lda_predict": lda_predict,
+    "xgb_features": xgb_features,
+    "probe_bed_text": probe_bed_text,
+    "probe_fastq_text": probe_fastq_text,
+    "probe_csv_text": probe_csv_text,
+    "fasta_text": fasta_text,
+    "gtf_attributes": gtf_attributes,
+    "gtf_filter": gtf_filter,
+    "classify_ids": classify_ids,
+    "filter_ids": filter_ids,
+    "exon_seqs": exon_seqs,
+    "introns": introns,
+    "spliced_seq": spliced_seq,
+    "flatten_isoforms": flatten_isoforms,
+    "mine_flattened": mine_flattened,
+    "append_same": append_same,
+    "append_unique": append_unique,
+    "append_multiple": append_multiple,
+    "append_custom": append_custom,
+    "append_saber": append_saber,
+    "master_table": master_table,
+    "append_barcodes": append_barcodes,
+    "pipeline_flagship": pipeline_flagship,
+    **{name: _mined(**settings) for name, settings in MINING.items()},
+}
 
 SQL: dict[str, str] = {
+    **oracles.build(MINING),
     "p4_found": """
         WITH e AS (
             SELECT DISTINCT seqid, gene_id, CAST("start" AS BIGINT) AS s, CAST("end" AS BIGINT) AS e

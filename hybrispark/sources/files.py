@@ -23,9 +23,9 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, seq_ord, seq_id, seq): the records of FASTA files, in upper case.
 
     Files are split at the signs that begin a record, so that one file is read
-    by many tasks; a record is one row.  ``seq_ord`` is the place of the record
-    in its file, in bytes order of the split, unique and ascending.  The id is
-    the first word of the header; text before the first header is ignored.
+    by many tasks; a record is one row.  ``seq_ord`` orders the records of a
+    file: the split's first byte and the row within its task.  The id is the
+    first word of the header; records without one are ignored.
     """
     lines = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value")
     record = F.regexp_replace("value", "^>", "")
@@ -33,7 +33,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(record, r"^[^\r\n]*", ""), r"\s", "")
     rows = lines.select(
         "file",
-        F.monotonically_increasing_id().alias("seq_ord"),
+        F.struct(F.col("__block").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq_ord"),
         F.regexp_extract(first, r"^\s*(\S+)", 1).alias("seq_id"),
         F.upper(body).alias("seq"),
     )

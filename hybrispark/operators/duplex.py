@@ -64,8 +64,8 @@ def tree_features(probe: str = "probe_seq", derived: str = "derived_seq", score:
     turned = rev_comp(derived)
     out = {
         "align_score": F.col(score),
-        "probe_gc": gc_content(probe, as_percent=True),
-        "derived_gc": gc_content(turned, as_percent=True),
+        "probe_gc_percent": gc_content(probe, as_percent=True),
+        "derived_gc_percent": gc_content(turned, as_percent=True),
         "probe_len": F.length(probe),
         "derived_len": F.length(derived),
     }

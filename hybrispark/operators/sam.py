@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybrispark.functions.seqfn import slice_strand
+from hybrispark.operators.mining import chunks
 
 
 def cigar_length(cigar: Column) -> Column:
@@ -85,13 +86,13 @@ def fetch_sequences(
     ``genome`` is (seq_id, seq).  Sequences are cut into blocks and intervals
     joined to the blocks they touch, so that no row carries a whole chromosome
     and a long sequence is spread over many tasks; an interval's parts are put
-    together again in order.  Intervals on unknown sequences are left out,
-    parts beyond the ends are cut off; an empty interval gives an empty text.
+    together again in order.  Equal rows come out once.  Intervals on unknown
+    sequences or wholly beyond the end are left out, parts beyond the ends are
+    cut off; an empty interval gives an empty text.
     """
-    n = F.length("seq")
-    blocks = genome.where("seq IS NOT NULL").select(
-        F.col("seq_id").alias("__id"), F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(block))).alias("__at"), "seq"
-    ).select("__id", (F.col("__at") / block).cast("int").alias("__b"), F.substr("seq", F.col("__at") + 1, F.lit(block)).alias("__part"))
+    blocks = chunks(genome, "seq_id", "seq", block, 0).select(
+        F.col("seq_id").alias("__id"), (F.col("offset") / block).cast("int").alias("__b"), F.col("total").alias("__n"), F.col("piece").alias("__part")
+    )
     lo = F.greatest(F.col(start), F.lit(0))
     last = F.greatest(F.col(stop) - 1, lo)
     touched = (
@@ -99,7 +100,7 @@ def fetch_sequences(
         .withColumn("__b", F.explode(F.sequence((lo / block).cast("int"), (last / block).cast("int"))))
         .withColumn("__key", F.col(seqid))
     )
-    joined = touched.join(blocks, (F.col("__key") == F.col("__id")) & (touched["__b"] == blocks["__b"])).drop(blocks["__b"])
+    joined = touched.join(blocks, (F.col("__key") == F.col("__id")) & (touched["__b"] == blocks["__b"])).drop(blocks["__b"]).where(lo < F.col("__n"))
     from_ = F.greatest(lo - F.col("__b") * block, F.lit(0))
     to = F.least(F.col(stop) - F.col("__b") * block, F.lit(block))
     part = F.substr("__part", from_ + 1, F.greatest(to - from_, F.lit(0)))

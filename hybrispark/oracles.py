@@ -59,7 +59,7 @@ def pdup() -> str:
     a, b = 1e-6, 1e-12
     return f"""WITH {PROBES}, g AS (SELECT probe_id, probe_seq, CASE WHEN regexp_full_match(probe_seq, '[ACGT]{{2,}}') THEN exp({g} / {rt!r}) END AS k FROM p),
         x AS (SELECT *, {a + b!r} + k AS x FROM g)
-        SELECT probe_id, round(least({2 * a * b!r} / (x + sqrt(x * x - {4 * a * b!r})) / {b!r}, 1.0), 6) AS pdup FROM x"""
+        SELECT probe_id, CASE WHEN x IS NOT NULL THEN round(least({2 * a * b!r} / (x + sqrt(x * x - {4 * a * b!r})) / {b!r}, 1.0), 6) END AS pdup FROM x"""
 
 
 def pdup_competitive() -> str:
@@ -131,17 +131,15 @@ def mining_sql(**settings) -> str:
     if not cfg.spaced:
         return f"WITH {found} SELECT * FROM r"
     gap = max(cfg.spacing, 0)
-    return f"""WITH RECURSIVE {found},
-    j AS (
-        SELECT a.seq_id, a."start" AS here, b."start" AS following
-        FROM r a ASOF LEFT JOIN r b ON a.seq_id = b.seq_id AND a."stop" + {gap} <= b."start"
-    ),
+    return f"""WITH {found},
     y AS (
-        SELECT seq_id, min("start") AS at FROM r WHERE "start" >= {gap} - 1 GROUP BY seq_id
-        UNION ALL
-        SELECT y.seq_id, j.following FROM y JOIN j ON y.seq_id = j.seq_id AND y.at = j.here WHERE j.following IS NOT NULL
+        SELECT seq_id, unnest(list_reduce(
+            list_prepend({{'last': -1, 'kept': []::INT[]}}, list({{'last': "stop", 'kept': ["start"]}} ORDER BY "start")),
+            lambda acc, x: CASE WHEN x.kept[1] >= acc.last + {gap}
+                THEN {{'last': x.last, 'kept': list_append(acc.kept, x.kept[1])}} ELSE acc END).kept) AS pos0
+        FROM r GROUP BY seq_id
     )
-    SELECT r.* FROM r JOIN y ON r.seq_id = y.seq_id AND r."start" = y.at"""
+    SELECT r.* FROM r JOIN y ON r.seq_id = y.seq_id AND r."start" = y.pos0"""
 
 
 def tm_windows_sql() -> str:
@@ -173,7 +171,7 @@ def _features() -> str:
     cols = []
     for name, seq in (("probe", "probe_seq"), ("derived", turned("reverse(probe_seq)"))):
         cols += [f"CAST((length({seq}) - length(replace({seq}, '{d}', ''))) / 2 AS INT) AS {name}_{d.lower()}" for d in DINUCLEOTIDES]
-        cols.append(f"round((length({seq}) - length(replace(replace({seq}, 'G', ''), 'C', ''))) / length({seq}) * 100, 4) AS {name}_gc")
+        cols.append(f"round((length({seq}) - length(replace(replace({seq}, 'G', ''), 'C', ''))) / length({seq}) * 100, 4) AS {name}_gc_percent")
         cols.append(f"length(probe_seq) AS {name}_len")
     return f"WITH {PROBES} SELECT probe_id, CAST(probe_id % 60 - 5 AS INT) AS align_score, {', '.join(cols)} FROM p WHERE probe_seq <> ''"
 
@@ -228,6 +226,10 @@ _EXONS = f"""g0 AS (
     SELECT rec_id, seqid, "start", "end", strand, score, {_attr('gene_id')} AS gene_id, {_attr('transcript_id')} AS transcript_id_full
     FROM g0 WHERE lower(trim("type", ' ')) = 'exon' AND "start" < "end" AND strand IN ('+', '-') AND split_part({_attr('transcript_id')}, '.', 1) <> ''
 )"""
+#: Exons moved to the first bases of their sequences, as the queries move them.
+_LOCAL = """lo AS (
+    SELECT DISTINCT transcript_id_full, seqid, "start" % 800 AS "start", "start" % 800 + least("end" - "start", 150) AS "end", strand FROM ex
+)"""
 _GENOME = f"""{SEQUENCES}, nm AS (SELECT DISTINCT seqid FROM gtf_io WHERE seqid IS NOT NULL), gn AS (
     SELECT nm.seqid AS seq_id, seq FROM nm JOIN s ON s.seq_id = 'm' || ((length(nm.seqid) * 7 + ascii(substr(nm.seqid, length(nm.seqid), 1))) % 60 + 1)
 )"""
@@ -240,15 +242,15 @@ def _part(prefix: str = "") -> str:
 
 _LABEL = """seqid || ':' || "start" || '-' || "end" || '(' || strand || ')'"""
 _FLAT = f"""{_EXONS}, ge AS (SELECT * FROM ex WHERE gene_id <> ''), st AS (
-    SELECT gene_id, at, sum(d) AS d FROM (
-        SELECT gene_id, "start" AS at, 1 AS d FROM ge UNION ALL SELECT gene_id, "end", -1 FROM ge
-    ) GROUP BY gene_id, at HAVING sum(d) <> 0
+    SELECT gene_id, pos0, sum(d) AS d FROM (
+        SELECT gene_id, "start" AS pos0, 1 AS d FROM ge UNION ALL SELECT gene_id, "end", -1 FROM ge
+    ) GROUP BY gene_id, pos0 HAVING sum(d) <> 0
 ), lv AS (
-    SELECT gene_id, at, sum(d) OVER (PARTITION BY gene_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS cov, lead(at) OVER (PARTITION BY gene_id ORDER BY at) AS nx FROM st
+    SELECT gene_id, pos0, sum(d) OVER (PARTITION BY gene_id ORDER BY pos0 ROWS UNBOUNDED PRECEDING) AS cov, lead(pos0) OVER (PARTITION BY gene_id ORDER BY pos0) AS nx FROM st
 ), tp AS (SELECT gene_id, max(cov) AS top FROM lv GROUP BY gene_id), fr AS (
     SELECT gene_id, arg_min(seqid, rec_id) AS seqid, arg_min(strand, rec_id) AS strand FROM ge GROUP BY gene_id
 ), nth AS (SELECT gene_id, strand, row_number() OVER (PARTITION BY gene_id ORDER BY rec_id) AS n FROM ge), sh AS (
-    SELECT lv.gene_id, at AS "start", nx AS "end", top, row_number() OVER (PARTITION BY lv.gene_id ORDER BY at) AS n
+    SELECT lv.gene_id, pos0 AS "start", nx AS "end", top, row_number() OVER (PARTITION BY lv.gene_id ORDER BY pos0) AS n
     FROM lv JOIN tp ON lv.gene_id = tp.gene_id WHERE cov = top AND nx IS NOT NULL AND top > 1
 ), fl AS (
     SELECT fr.seqid, CAST(sh."start" AS INT) AS "start", CAST(sh."end" AS INT) AS "end", sh.gene_id, coalesce(nth.strand, fr.strand) AS strand, CAST(top AS INT) AS coverage
@@ -287,10 +289,10 @@ def _align_sql(local: bool) -> str:
         else "-6 * (length(q) - list_sum(same))"
     )
     least = "20 + 8 * ln(length(q))" if local else "-0.6 - 0.6 * length(q)"
-    top = "QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, seq_id, at, strand) <= 3" if local else ""
+    top = "QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, seq_id, pos0, strand) <= 3" if local else ""
     more = ", derived AS derived_seq" if local else ""
     return f"""{head},
-    pr AS (SELECT DISTINCT {probe} AS q FROM r JOIN y ON r.seq_id = y.seq_id AND r."start" = y.at),
+    pr AS (SELECT DISTINCT {probe} AS q FROM r JOIN y ON r.seq_id = y.seq_id AND r."start" = y.pos0),
     sd AS (
         SELECT q, strand, i, substr(x, i + 1, 20) AS seed FROM (
             SELECT q, '+' AS strand, q AS x, unnest(range(0, length(q) - 19)) AS i FROM pr
@@ -301,16 +303,16 @@ def _align_sql(local: bool) -> str:
             SELECT seq_id, unnest(range(1, length(seq) - 18)) AS i, unnest(list_transform(range(1, length(seq) - 18), lambda i: substr(seq, i, 20))) AS w
             FROM s WHERE length(seq) >= 20) WHERE regexp_full_match(w, '[ACGT]+')
     ),
-    pl AS (SELECT DISTINCT q, strand, gx.seq_id, pos - i AS at FROM sd JOIN gx ON sd.seed = gx.seed WHERE pos >= i),
+    pl AS (SELECT DISTINCT q, strand, gx.seq_id, pos - i AS pos0 FROM sd JOIN gx ON sd.seed = gx.seed WHERE pos >= i),
     wn AS (
-        SELECT q, strand, pl.seq_id, at, CASE WHEN strand = '-' THEN {turned('substr(seq, at + 1, length(q))')} ELSE substr(seq, at + 1, length(q)) END AS derived
-        FROM pl JOIN s ON pl.seq_id = s.seq_id WHERE at + length(q) <= length(seq)
+        SELECT q, strand, pl.seq_id, pos0, CASE WHEN strand = '-' THEN {turned('substr(seq, pos0 + 1, length(q))')} ELSE substr(seq, pos0 + 1, length(q)) END AS derived
+        FROM pl JOIN s ON pl.seq_id = s.seq_id WHERE pos0 + length(q) <= length(seq)
     ),
     ss AS (
         SELECT *, list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(q, i, 1) = substr(derived, i, 1) THEN 1 ELSE 0 END) AS same FROM wn
     ),
     sc AS (SELECT *, CAST({score} AS INT) AS score FROM ss)
-    SELECT q AS probe_seq, seq_id AS align_seqid, CAST(at AS INT) AS align_start, CAST(at + length(q) AS INT) AS align_stop, strand AS align_strand,
+    SELECT q AS probe_seq, seq_id AS align_seqid, CAST(pos0 AS INT) AS align_start, CAST(pos0 + length(q) AS INT) AS align_stop, strand AS align_strand,
         score AS align_score, CAST(length(q) - list_sum(same) AS INT) AS mismatches{more}
     FROM sc WHERE score >= {least} {top}"""
 
@@ -345,8 +347,8 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
                 SELECT probe_id, probe_seq, unnest(list_transform(range(1, length(probe_seq) - 16), lambda i: substr(probe_seq, i, 18))) AS kmer FROM p WHERE length(probe_seq) >= 18
             ), ix AS (SELECT kmer, count(*) AS cnt FROM w WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer),
             mx AS (SELECT probe_seq, max(coalesce(cnt, 0)) AS m FROM (SELECT DISTINCT probe_seq, kmer FROM w) d LEFT JOIN ix ON d.kmer = ix.kmer GROUP BY probe_seq)
-            SELECT probe_id, CAST(m AS INT) AS max_kmer FROM p LEFT JOIN mx ON p.probe_seq = mx.probe_seq""",
-        "sam_to_bed": f"WITH {_SAM} SELECT * FROM bed",
+            SELECT probe_id, CAST(m AS DOUBLE) AS max_kmer FROM p LEFT JOIN mx ON p.probe_seq = mx.probe_seq""",
+        "sam_to_bed": f"WITH {_SAM} SELECT * REPLACE (CAST(align_score AS DOUBLE) AS align_score) FROM bed",
         "bed_text": f"""WITH {_SAM} SELECT concat_ws(chr(9), align_seqid, align_start, align_stop, seqid, coalesce(CAST(align_score AS VARCHAR), 'NA'), align_strand, align_cigar) AS value FROM bed""",
         "trim_coords": f"WITH {_TRIM} SELECT probe_id, align_seqid, align_start, align_stop, align_strand FROM tr",
         "fetch_seq": f"""WITH {_TRIM} SELECT DISTINCT probe_id, align_seqid, align_start, align_stop, align_strand,
@@ -366,15 +368,15 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
             SELECT '>' || probe_id || chr(10) || substr(q, 1, 60) || CASE WHEN length(q) > 60 THEN chr(10) || substr(q, 61, 60) ELSE '' END AS value FROM x""",
         "gtf_attributes": f"""WITH d AS (SELECT DISTINCT rec_id, attributes FROM gtf_io WHERE rec_id IS NOT NULL AND source = 'havlab')
             SELECT rec_id, {_attr('gene_id')} AS gene_id, {_attr('gene_name')} AS gene_name, {_attr('transcript_id')} AS transcript_id_full, split_part({_attr('transcript_id')}, '.', 1) AS transcript_id FROM d""",
-        "gtf_filter": """SELECT DISTINCT rec_id, seqid, "start", "end" FROM gtf_io WHERE "type" = 'exon' AND regexp_matches(seqid, '^chr') AND NOT regexp_matches(seqid, 'X')""",
+        "gtf_filter": """SELECT DISTINCT rec_id, seqid, "start", "end" FROM gtf_io WHERE "type" = 'exon' AND regexp_matches(seqid, '^chr') AND NOT regexp_matches(seqid, 'X') AND "start" IS NOT NULL AND "end" IS NOT NULL""",
         "classify_ids": f"SELECT DISTINCT seq_id, CASE {kinds} ELSE 'canonical' END AS class FROM test_probes WHERE seq_id IS NOT NULL",
         "filter_ids": r"SELECT DISTINCT seq_id FROM test_probes WHERE regexp_matches(seq_id, 'chr|ctg') AND NOT regexp_matches(seq_id, '\(-\)')",
-        "exon_seqs": f"""WITH {_EXONS}, {_GENOME}, d AS (SELECT DISTINCT seqid, "start", "end", strand FROM ex)
+        "exon_seqs": f"""WITH {_EXONS}, {_LOCAL}, {_GENOME}, d AS (SELECT DISTINCT seqid, "start", "end", strand FROM lo)
             SELECT {_LABEL} AS label, {_part()} AS sequence FROM d JOIN gn ON d.seqid = gn.seq_id WHERE "start" < length(seq)""",
         "introns": f"""WITH {_EXONS}, x AS (
                 SELECT transcript_id_full, seqid, "end" AS "start", lead("start") OVER (PARTITION BY transcript_id_full, seqid, strand ORDER BY "start", "end") AS e, strand FROM ex
             ) SELECT transcript_id_full, seqid, "start", e AS "end", strand FROM x WHERE "start" < e""",
-        "spliced_seq": f"""WITH {_EXONS}, {_GENOME}, d AS (SELECT DISTINCT transcript_id_full, seqid, "start", "end", strand FROM ex)
+        "spliced_seq": f"""WITH {_EXONS}, {_LOCAL}, {_GENOME}, d AS (SELECT * FROM lo)
             SELECT transcript_id_full, string_agg({_part()}, '' ORDER BY CASE WHEN strand = '+' THEN "start" ELSE -"start" END, "end") AS sequence
             FROM d JOIN gn ON d.seqid = gn.seq_id WHERE "start" < length(seq) GROUP BY transcript_id_full""",
         "flatten_isoforms": f"WITH {_FLAT} SELECT * FROM fl",

@@ -173,7 +173,7 @@ def kmer_query(spark, sf_dir):
 
 def max_kmer(spark, sf_dir):
     index = kmers.build_kmer_index(probes(spark, sf_dir).where("probe_seq IS NOT NULL"), "probe_id", "probe_seq", 18)
-    return kmers.add_max_kmer(probes(spark, sf_dir).drop("max_kmer"), index).select("probe_id", "max_kmer")
+    return kmers.add_max_kmer(probes(spark, sf_dir).drop("max_kmer"), index).select("probe_id", F.col("max_kmer").cast("double").alias("max_kmer"))
 
 
 # --- alignments -----------------------------------------------------------------
@@ -194,7 +194,7 @@ def _sam(spark, sf_dir):
 
 
 def sam_to_bed(spark, sf_dir):
-    return sam.sam_to_bed(_sam(spark, sf_dir))
+    return sam.sam_to_bed(_sam(spark, sf_dir)).withColumn("align_score", F.col("align_score").cast("double"))
 
 
 def bed_text(spark, sf_dir):
@@ -281,7 +281,7 @@ def lda_predict(spark, sf_dir):
 
 def xgb_features(spark, sf_dir):
     cols = duplex.tree_features()
-    rounded = {n: F.round(c, 4) if n.endswith("_gc") else c for n, c in cols.items()}
+    rounded = {n: F.round(c, 4) if n.endswith("_percent") else c for n, c in cols.items()}
     return _pairs(spark, sf_dir).select("probe_id", *[c.alias(n.lower()) for n, c in rounded.items()])
 
 
@@ -319,7 +319,7 @@ def gtf_attributes(spark, sf_dir):
 
 def gtf_filter(spark, sf_dir):
     rows = read_table(spark, sf_dir, "gtf_io").drop("loaded_at")
-    return annotation.filter_annotation(rows, None, "exon", "^chr", "X").select("rec_id", "seqid", "start", "end").distinct()
+    return annotation.filter_annotation(rows, None, "exon", "^chr", "X").select("rec_id", "seqid", "start", "end").where("start IS NOT NULL AND `end` IS NOT NULL").distinct()
 
 
 def classify_ids(spark, sf_dir):
@@ -340,8 +340,15 @@ def _genome(spark, sf_dir):
     return keyed.join(seqs, "m").select(F.col("seqid").alias("seq_id"), "seq")
 
 
+def _local_exons(spark, sf_dir):
+    """Exons moved to the first bases of their sequences, which are shorter here than the annotation's."""
+    start = F.col("start") % 800
+    end = start + F.least(F.col("end") - F.col("start"), F.lit(150))
+    return exons(spark, sf_dir).withColumns({"start": start, "end": end})
+
+
 def exon_seqs(spark, sf_dir):
-    return annotation.exon_sequences(exons(spark, sf_dir), _genome(spark, sf_dir))
+    return annotation.exon_sequences(_local_exons(spark, sf_dir), _genome(spark, sf_dir))
 
 
 def introns(spark, sf_dir):
@@ -349,7 +356,7 @@ def introns(spark, sf_dir):
 
 
 def spliced_seq(spark, sf_dir):
-    rows = exons(spark, sf_dir).select("transcript_id_full", "seqid", "start", "end", "strand").distinct()
+    rows = _local_exons(spark, sf_dir).select("transcript_id_full", "seqid", "start", "end", "strand").distinct()
     return annotation.spliced_sequences(rows, _genome(spark, sf_dir), "transcript_id_full")
 
 
@@ -358,7 +365,7 @@ def flatten_isoforms(spark, sf_dir):
 
 
 def mine_flattened(spark, sf_dir):
-    flat = annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
+    flat = annotation.flatten_isoforms(_local_exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
     return pipeline.mine_flattened(flat, _genome(spark, sf_dir))
 
 

@@ -56,3 +56,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("mined").count() == 16
+
+
+def test_sql_functions(spark, rows):
+    from hybrispark.functions import sql
+
+    sql.register(spark)
+    assert tuple(spark.sql("SELECT rev_comp('ACGN'), gc_content('gcAT'), gc_content(''), probe_key('c', 1, 5)").first()) == ("NCGT", 0.5, 0.0, "c:1-5")
+    spark.createDataFrame([("a", "ATCG" * 13), ("b", None)], "seq_id string, seq string").createOrReplaceTempView("s")
+    assert spark.sql("SELECT s.seq_id, m.* FROM s, LATERAL mine_probes(s.seq) m").count() == 16

@@ -393,3 +393,29 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
             SELECT probe_ord, o.entry AS "outer", e.id || '_' || e.seq AS "inner" FROM tn JOIN {_set(60)} e ON e.i = no CROSS JOIN o""",
     }
     return out | {name: mining_sql(**settings) for name, settings in mining.items()}
+
+
+#: Values packed in the attributes, by one pattern for an entry and one for each form of value.
+PACKED = r"""
+    WITH d AS (
+        SELECT DISTINCT rec_id, regexp_replace(attributes, '^\s+|\s+$', '', 'g') AS a FROM gtf_io
+    ), f AS (
+        SELECT rec_id, CASE WHEN a LIKE '"%' THEN replace(regexp_extract(a, '^"((?:[^"]|"")*)"?', 1), '""', '"') ELSE a END AS a FROM d
+    ), x AS (
+        SELECT rec_id, regexp_extract_all(a, '\w+(?: *= *| +)?(?:"(?:[^"]|"")*"?|''[^'']*''?|[^;；|\t\n\r"''][^;；|\t\n\r]*)?') AS es FROM f
+    ), e AS (
+        SELECT rec_id, unnest(es) AS entry, generate_subscripts(es, 1) AS i FROM x
+    ), k AS (
+        SELECT rec_id, i, regexp_extract(entry, '^\w+') AS attr_key,
+            regexp_replace(regexp_replace(entry, '^\w+(?: *= *| +)?', ''), '\s+$', '') AS v FROM e
+    ), q AS (
+        SELECT rec_id, i, attr_key, CASE
+            WHEN v LIKE '"%' THEN [replace(regexp_extract(v, '^"((?:[^"]|"")*)"?', 1), '""', '"')]
+            WHEN v LIKE '''%' THEN [regexp_extract(v, '^''([^'']*)''?', 1)]
+            ELSE list_transform(string_split(v, ','), lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')) END AS vs
+        FROM k
+    ), u AS (
+        SELECT rec_id, i, attr_key, unnest(vs) AS attr_value, generate_subscripts(vs, 1) AS j FROM q
+    )
+    SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i, j) AS INT) AS pos, attr_key, attr_value FROM u
+"""

@@ -481,6 +481,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     **oracles.build(MINING),
+    "p2_found": oracles.PACKED,
     "p4_found": """
         WITH e AS (
             SELECT DISTINCT seqid, gene_id, CAST("start" AS BIGINT) AS s, CAST("end" AS BIGINT) AS e

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hybrispark.errors import InvalidInputError
 from hybrispark.functions.seqfn import attribute, attribute_entries, interval_label
+from hybrispark.operators.packed_values import parse_field
 from hybrispark.operators.sam import fetch_sequences
 
 #: Rules for the ids of assemblies, tried in order; fixed values.
@@ -33,6 +36,29 @@ def parse_attributes(gtf: DataFrame, column: str = "attributes") -> DataFrame:
     return gtf.withColumn("__entries", attribute_entries(column)).withColumns(added).drop("__entries", column)
 
 
+def parse_packed_attributes(gtf: DataFrame, column: str = "attributes", transcript_keys: Sequence[str] = ("transcript_id",)) -> DataFrame:
+    """As parse_attributes(), for fields in any dialect that parse_field() reads.
+
+    The transcript is the value of the first of ``transcript_keys`` that has one.
+    """
+    added = ("gene_id", "gene_name", "transcript_id_full", "transcript_id")
+    kept = [c for c in gtf.columns if c not in (column, *added)]
+    schema = T.StructType([*(gtf.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in added)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            genes, names, full = [], [], []
+            for text in batch.column(len(kept)).to_pylist():
+                found = {key: value for key, value, _ in parse_field(text)}
+                genes.append(found.get("gene_id", ""))
+                names.append(found.get("gene_name", ""))
+                full.append(next(filter(None, map(found.get, transcript_keys)), ""))
+            values = [pa.array(v, pa.string()) for v in (genes, names, full, [t.partition(".")[0] for t in full])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *values], names=[*kept, *added])
+
+    return gtf.select(*kept, column).mapInArrow(parse, schema)
+
+
 def matches(column: Column, include: str | None = None, exclude: str | None = None) -> Column:
     """Whether a pattern is found in a text and another isn't."""
     keep = F.lit(True)

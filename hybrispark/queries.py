@@ -60,11 +60,14 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exon records with parsed attributes, each delivery once, on well-formed bounds."""
-    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL AND source = 'havlab' AND attributes IS NOT NULL")
+    """Exon records of all sources with parsed attributes, each delivery once, on well-formed bounds.
+
+    An exon that names no transcript belongs to its parent.
+    """
+    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL AND attributes IS NOT NULL")
+    rows = rows.where(F.lower(F.trim("type")) == "exon").where("start < `end` AND strand IN ('+', '-')")
     rows = rows.drop("loaded_at", "gene_id").distinct()
-    parsed = annotation.parse_attributes(rows)
-    return parsed.where(F.lower(F.trim("type")) == "exon").where("start < `end` AND strand IN ('+', '-') AND transcript_id <> ''")
+    return annotation.parse_packed_attributes(rows, transcript_keys=("transcript_id", "Parent")).where("transcript_id <> ''")
 
 
 # --- scans, scalars ---------------------------------------------------------
@@ -313,8 +316,8 @@ def fasta_text(spark, sf_dir):
 
 
 def gtf_attributes(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL AND source = 'havlab'").select("rec_id", "attributes").distinct()
-    return annotation.parse_attributes(rows)
+    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL").select("rec_id", "attributes").distinct()
+    return annotation.parse_packed_attributes(rows)
 
 
 def gtf_filter(spark, sf_dir):

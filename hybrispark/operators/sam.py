@@ -104,7 +104,9 @@ def fetch_sequences(
     from_ = F.greatest(lo - F.col("__b") * block, F.lit(0))
     to = F.least(F.col(stop) - F.col("__b") * block, F.lit(block))
     part = F.substr("__part", from_ + 1, F.greatest(to - from_, F.lit(0)))
-    parts = joined.groupBy(*bed.columns).agg(F.array_sort(F.collect_list(F.struct("__b", part.alias("p")))).alias("__parts"))
+    # Cut before the aggregate, whose sorted rows would hold whole blocks otherwise.
+    cut_parts = joined.select(*bed.columns, "__b", part.alias("p"))
+    parts = cut_parts.groupBy(*bed.columns).agg(F.array_sort(F.collect_list(F.struct("__b", "p"))).alias("__parts"))
     whole = F.upper(F.array_join(F.transform("__parts", lambda x: x["p"]), ""))
     cut = parts.withColumn("__whole", whole)
     return cut.select(*bed.columns, slice_strand(F.col("__whole"), F.lit(0), F.length("__whole"), F.col(strand)).alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybrispark import oracles
@@ -52,6 +52,21 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("seq_id").agg(F.max("seq").alias("seq")).where("seq <> ''")
 
 
+def numbered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(no, seq_id, size, at, n, total): sequences numbered from 0 by mine_id and laid end to end with a letter between them."""
+    sizes = sequences(spark, sf_dir).select("seq_id", F.length("seq").alias("size"))
+    order = Window.orderBy(F.substr("seq_id", F.lit(2)).cast("long"))
+    every = Window.partitionBy()
+    return sizes.select(
+        (F.row_number().over(order) - 1).cast("long").alias("no"),
+        "seq_id",
+        "size",
+        (F.sum(F.col("size") + 1).over(order) - F.col("size") - 1).alias("at"),
+        F.count("*").over(every).alias("n"),
+        F.sum(F.col("size") + 1).over(every).alias("total"),
+    )
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(probe_id, seqid, seq_id, start, stop, probe_seq, tm, max_kmer): test_probes in clean letters, each id once."""
     rows = read_table(spark, sf_dir, "test_probes").where("probe_id IS NOT NULL")
@@ -205,11 +220,13 @@ def bed_text(spark, sf_dir):
 
 
 def _intervals(spark, sf_dir):
-    """Intervals on the sequences of mine_probes, derived from the probes."""
+    """Intervals on all sequences of mine_probes by turns, derived from the probes."""
     p = probes(spark, sf_dir).where("start IS NOT NULL AND stop IS NOT NULL")
-    return p.select(
+    numbered = numbered_sequences(spark, sf_dir)
+    p = p.crossJoin(F.broadcast(numbered.agg(F.max("n").alias("n")))).withColumn("no", F.pmod(F.col("probe_id"), F.col("n")))
+    return p.join(numbered.select("no", F.col("seq_id").alias("align_seqid")), "no").select(
         "probe_id",
-        F.concat(F.lit("m"), (F.col("probe_id") % 60 + 1).cast("string")).alias("align_seqid"),
+        "align_seqid",
         (F.col("start") * 3 - 40).alias("align_start"),
         (F.col("stop") * 3 + 40).alias("align_stop"),
         F.when(F.col("probe_id") % 2 == 0, "-").otherwise("+").alias("align_strand"),
@@ -335,12 +352,42 @@ def filter_ids(spark, sf_dir):
     return annotation.filter_ids(ids, "chr|ctg", r"\(-\)")
 
 
+def _shares(spark, sf_dir):
+    """(seqid, first, last, length): the numbers of the sequences that stand for every name of the annotation.
+
+    Each sequence belongs to a name, and each name has at least one.  A share
+    shorter than the longest exon goes on into the sequences that follow it,
+    after the last into the first again.
+    """
+    gtf = read_table(spark, sf_dir, "gtf_io")
+    bounds = gtf.where(F.lower(F.trim("type")) == "exon").where("start < `end`")
+    longest = bounds.agg(F.coalesce(F.max(F.col("end") - F.col("start")), F.lit(0)).alias("longest"))
+    names = gtf.select("seqid").where("seqid IS NOT NULL").distinct()
+    names = names.select("seqid", (F.row_number().over(Window.orderBy("seqid")) - 1).cast("long").alias("r"), F.count("*").over(Window.partitionBy()).alias("names"))
+    numbered = numbered_sequences(spark, sf_dir)
+    totals = numbered.agg(F.max("n").alias("n"), F.max("total").alias("total")).where("n IS NOT NULL")
+    names = names.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(longest)).withColumn("first", F.expr("r * n DIV names"))
+    names = names.withColumn("own", F.greatest(F.col("first"), F.expr("(r + 1) * n DIV names - 1")))
+    names = names.join(numbered.select(F.col("no").alias("first"), F.col("at").alias("begin")), "first")
+    names = names.withColumn("reach", F.col("begin") + F.col("longest") + 1)
+    # The sequence at a place is the last that begins at or before it.
+    places = names.select("seqid", F.expr("reach % total").alias("at"), F.lit(None).cast("long").alias("no"))
+    marks = numbered.select(F.lit(None).cast("string").alias("seqid"), "at", "no").unionByName(places)
+    found = marks.withColumn("there", F.last("no", True).over(Window.orderBy("at", F.col("seqid").isNotNull()))).where("seqid IS NOT NULL")
+    names = names.join(found.select("seqid", "there"), "seqid")
+    names = names.withColumn("last", F.greatest(F.col("own"), F.expr("there + reach DIV total * n")))
+    ends = numbered.select(F.col("no").alias("__no"), (F.col("at") + F.col("size")).alias("end"))
+    sized = names.withColumn("__no", F.expr("last % n")).join(ends, "__no")
+    return sized.select("seqid", "first", "last", "n", F.expr("end + last DIV n * total - begin").cast("int").alias("length"))
+
+
 def _genome(spark, sf_dir):
-    """Sequences of mine_probes under the names the annotation uses, numbered among all of its names."""
-    names = read_table(spark, sf_dir, "gtf_io").select("seqid").where("seqid IS NOT NULL").distinct()
-    seqs = sequences(spark, sf_dir).select(F.substr("seq_id", F.lit(2)).cast("int").alias("m"), "seq")
-    keyed = names.select("seqid", (F.pmod(F.length("seqid") * 7 + F.ascii(F.reverse("seqid")), F.lit(60)) + 1).alias("m"))
-    return keyed.join(seqs, "m").select(F.col("seqid").alias("seq_id"), "seq")
+    """All sequences of mine_probes under the names the annotation uses, an N between those of a name."""
+    shares = _shares(spark, sf_dir).withColumn("i", F.explode(F.sequence("first", "last")))
+    letters = numbered_sequences(spark, sf_dir).select("no", "seq_id").join(sequences(spark, sf_dir), "seq_id")
+    parts = shares.withColumn("no", F.expr("i % n")).join(letters.select("no", "seq"), "no")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "seq"))), lambda x: x["seq"]), "N")
+    return parts.groupBy(F.col("seqid").alias("seq_id")).agg(joined.alias("seq"))
 
 
 def _local_exons(spark, sf_dir):

@@ -390,11 +390,16 @@ def _genome(spark, sf_dir):
     return parts.groupBy(F.col("seqid").alias("seq_id")).agg(joined.alias("seq"))
 
 
+def _localized(exons, spark, sf_dir):
+    """Exons, whole as they are, moved to a start that lets them end within their sequences, which are shorter here than the annotation's."""
+    sizes = _shares(spark, sf_dir).select("seqid", F.col("length").alias("__size"))
+    size = F.col("end") - F.col("start")
+    start = F.pmod(F.col("start"), F.greatest(F.col("__size") - size, F.lit(1)))
+    return exons.join(sizes, "seqid").withColumns({"start": start, "end": start + size}).drop("__size")
+
+
 def _local_exons(spark, sf_dir):
-    """Exons moved to the first bases of their sequences, which are shorter here than the annotation's."""
-    start = F.col("start") % 800
-    end = start + F.least(F.col("end") - F.col("start"), F.lit(150))
-    return exons(spark, sf_dir).withColumns({"start": start, "end": end})
+    return _localized(exons(spark, sf_dir), spark, sf_dir)
 
 
 def exon_seqs(spark, sf_dir):
@@ -415,8 +420,9 @@ def flatten_isoforms(spark, sf_dir):
 
 
 def mine_flattened(spark, sf_dir):
-    flat = annotation.flatten_isoforms(_local_exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
-    return pipeline.mine_flattened(flat, _genome(spark, sf_dir))
+    # Flattened where the annotation has them: moved exons of a gene no longer overlap.
+    flat = annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
+    return pipeline.mine_flattened(_localized(flat, spark, sf_dir), _genome(spark, sf_dir))
 
 
 # --- appending -----------------------------------------------------------------------

@@ -64,7 +64,8 @@ def _diagonals(probes: DataFrame, index: DataFrame, seed: int) -> DataFrame:
     minus = F.struct(F.lit("-").alias("strand"), rev_comp("q").alias("s"))
     strands = probes.select("q", F.explode(F.array(plus, minus)).alias("x"))
     seeds = strands.select("q", F.col("x.strand").alias("strand"), F.posexplode(kmers("x.s", seed)).alias("i", "seed"))
-    hits = seeds.join(index, "seed")
+    # Sizes are estimated before words are exploded, so no side may be broadcast by them.
+    hits = seeds.join(index.hint("merge"), "seed")
     return hits.select("q", "align_seqid", "strand", (F.col("pos") - F.col("i")).alias("start")).distinct()
 
 
@@ -97,7 +98,7 @@ def align(
     blocks = chunks(genome, "seq_id", "seq", block, 1_000).select(
         F.col("seq_id").alias("align_seqid"), (F.col("offset") / block).cast("int").alias("__b"), "piece"
     )
-    cut = places.join(blocks, ["align_seqid", "__b"]).withColumn(
+    cut = places.join(blocks.hint("merge"), ["align_seqid", "__b"]).withColumn(
         "window", F.substr("piece", F.col("start") - F.col("__b") * block + 1, F.length("q"))
     )
     cut = cut.where(F.length("window") == F.length("q"))

@@ -79,12 +79,12 @@ def max_kmer(index: DataFrame, probes: DataFrame, seq_col: str = "probe_seq", k:
     exploded = seqs.select("sequence", F.explode(F.array_distinct(kmers(F.upper("sequence"), k))).alias("kmer"))
     if canonical:
         exploded = exploded.withColumn("kmer", F.least("kmer", rev_comp("kmer")))
-    found = exploded.join(index.select("kmer", "cnt"), "kmer", "left")
+    found = exploded.join(index.select("kmer", "cnt").hint("merge"), "kmer", "left")
     best = found.groupBy("sequence").agg(F.max(F.coalesce("cnt", F.lit(0))).cast("int").alias("max_kmer"))
-    return seqs.join(best, "sequence", "left")
+    return seqs.join(best.hint("merge"), "sequence", "left")
 
 
 def add_max_kmer(probes: DataFrame, index: DataFrame, k: int = 18, seq_col: str = "probe_seq", canonical: bool = False) -> DataFrame:
     """The probes with ``max_kmer``, null where a sequence is null or shorter than k."""
     best = max_kmer(index, probes, seq_col, k, canonical).withColumnRenamed("sequence", "__s")
-    return probes.join(best, probes[seq_col] == F.col("__s"), "left").drop("__s")
+    return probes.join(best.hint("merge"), probes[seq_col] == F.col("__s"), "left").drop("__s")

@@ -12,7 +12,7 @@ def merge_alignments(probes: DataFrame, alignments: DataFrame, key: str = "seqid
     Columns of the alignments that the probes have too are dropped.
     """
     extra = [c for c in alignments.columns if c == key or c not in probes.columns]
-    return probes.join(alignments.select(*extra), key)
+    return probes.join(alignments.select(*extra).hint("merge"), key)
 
 
 def label_on_target(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def align_candidates(probes: DataFrame, genome: DataFrame, preset="very-sensitiv
     """Alignments of probes, one row for each probe and place, keyed by ``seqid``."""
     found = align(probes, genome, "probe_seq", preset, k)
     keys = probes.select("seqid", F.upper("probe_seq").alias("probe_seq"))
-    return keys.join(found, "probe_seq").drop("probe_seq")
+    return keys.join(found.hint("merge"), "probe_seq").drop("probe_seq")
 
 
 @dataclass(frozen=True)

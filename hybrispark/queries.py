@@ -474,9 +474,9 @@ def append_barcodes(spark, sf_dir):
 
 
 def pipeline_flagship(spark, sf_dir):
-    """Mine with a spacing, count k-mers, align, predict and score."""
-    done = pipeline.design_probes(sequences(spark, sf_dir), cfg=config(spacing=100), max_alignments=20)
-    scored = done.probes.join(done.scores, "seqid", "left")
+    """Mine, count k-mers, align, predict and score, all by default."""
+    done = pipeline.design_probes(sequences(spark, sf_dir))
+    scored = done.probes.join(done.scores.hint("merge"), "seqid", "left")
     return scored.select("seqid", "probe_seq", "tm", "max_kmer", F.round("on_target_score", 6).alias("on_target_score"), F.round("off_target_score", 6).alias("off_target_score"))
 
 

@@ -243,11 +243,16 @@ def fetch_seq(spark, sf_dir):
     return sam.fetch_sequences(trimmed, sequences(spark, sf_dir))
 
 
+def _aligned(spark, sf_dir):
+    """(probe_seq): all distinct sequences of test_probes and of the probes mined by default."""
+    given = probes(spark, sf_dir).select("probe_seq").where("probe_seq IS NOT NULL")
+    return given.unionByName(mine(sequences(spark, sf_dir)).select("probe_seq")).distinct()
+
+
 def _mutated(spark, sf_dir):
-    """Mined probes whose base 25 is changed for its complement."""
-    mined = mine(sequences(spark, sf_dir), cfg=config(spacing=200))
+    """The same with base 25 changed for its complement; shorter ones as they are."""
     s = F.col("probe_seq")
-    return mined.withColumn(
+    return _aligned(spark, sf_dir).withColumn(
         "probe_seq", F.concat(F.substr(s, F.lit(1), F.lit(24)), seqfn.rev_comp(F.substr(s, F.lit(25), F.lit(1))), F.substr(s, F.lit(26)))
     )
 
@@ -258,8 +263,7 @@ def align_topk(spark, sf_dir):
 
 
 def align_end_to_end(spark, sf_dir):
-    mined = mine(sequences(spark, sf_dir), cfg=config(spacing=200))
-    return align(mined, sequences(spark, sf_dir), preset="very-sensitive", k=None).drop("derived_seq")
+    return align(_aligned(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive", k=None).drop("derived_seq")
 
 
 # --- merging, scoring, models -----------------------------------------------------

@@ -184,7 +184,7 @@ def kmer_canonical(spark, sf_dir):
 
 
 def kmer_query(spark, sf_dir):
-    words = probes(spark, sf_dir).select("probe_id", F.substr("probe_seq", F.lit(1), F.lit(11)).alias("kmer")).where(F.length("kmer") == 11)
+    words = probes(spark, sf_dir).select("probe_id", F.explode(seqfn.kmers("probe_seq", 11)).alias("kmer"))
     index = kmers.build_kmer_index(sequences(spark, sf_dir), k=11)
     return kmers.query_kmers(index, words)
 

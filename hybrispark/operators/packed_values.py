@@ -33,8 +33,11 @@ _BLANK = r"[^\S\t\n\r\x0b\x0c]"
 
 _skip = re.compile(rf"[\s{re.escape(SEPARATORS)}]*").match
 _key = re.compile(rf"(\w+)(?:{_BLANK}*={_BLANK}*|{_BLANK}+|(?={_SEP})|\Z)").match
-_double = re.compile(rf'"([^"]*(?:""[^"]*)*)"{_END}').match
-_double_loose = re.compile(rf'"([^"]*(?:""[^"]*)*)"([^{re.escape(SEPARATORS)}]*)').match
+#: What stands in double quotes; possessive, so that a doubled quote is never taken for a closing one.
+_QUOTED = r'"((?:[^"]|"")*+)"'
+_double = re.compile(_QUOTED + _END).match
+_double_loose = re.compile(rf"{_QUOTED}([^{re.escape(SEPARATORS)}]*)").match
+_whole = re.compile(r'"((?:[^"]|"")*+)').match
 _single = re.compile(rf"'(.*?)'{_ENTRY_END}", re.S).match
 _bracket = {
     "[": re.compile(rf"(\[[^\[\]]*\]){_END}").match,
@@ -60,7 +63,7 @@ def parse_field(field: str | None, brackets: bool = False) -> list[tuple[str, st
     s = field.strip()
     if s[:1] == '"':
         # No entry begins with a quote, so the field as a whole is quoted.
-        m = re.match(r'"([^"]*(?:""[^"]*)*)("?)', s)
+        m = _whole(s)
         s = m.group(1).replace('""', '"').strip()
     if s == ".":
         return []

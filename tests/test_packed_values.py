@@ -19,6 +19,8 @@ def plain(field):
         ("remark=；b=1", [("remark", ""), ("b", "1")]),
         ('note "so ""called"" x"; r ""', [("note", 'so "called" x'), ("r", "")]),
         ('tag "never closed; b 1', [("tag", "never closed; b 1")]),
+        ('note "so called ""transport subunit""; partial', [("note", 'so called "transport subunit"; partial')]),
+        ('"note ""so called """"x""""; partial"', [("note", 'so called "x"; partial')]),
         ("n 'near 5' end; x'; y '2'", [("n", "near 5' end; x"), ("y", "2")]),
         ('"a ""1""; note ""say """"hi""""; so"";"', [("a", "1"), ("note", 'say "hi"; so')]),
         ("tag putative actin cap\ttag b", [("tag", "putative actin cap"), ("tag", "b")]),
@@ -31,6 +33,7 @@ def test_fields(field, expected):
 def test_errors_and_brackets():
     assert parse_field('a "b" c; d "e')[0] == ("a", "b c", "text_after_quote")
     assert parse_field('a "b" c; d "e')[1] == ("d", "e", "open_quote")
+    assert parse_field('a "b ""c""; d 1') == [("a", 'b "c"; d 1', "open_quote")]
     assert parse_field("-x; a 1") == [("", "-x", "no_key"), ("a", "1", None)]
     assert parse_field("x=[1,2]", brackets=True) == [("x", "[1,2]", None)]
     assert plain("x=[1,2]") == [("x", "[1"), ("x", "2]")]

@@ -72,17 +72,20 @@ def config(**settings) -> MiningConfig:
     return MiningConfig(**settings, conditions=Conditions(**salts))
 
 
-def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int) -> DataFrame:
+def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int, before: int = 0) -> DataFrame:
     """(seq_id, offset, total, piece): pieces of ``size`` letters, each with ``halo`` more of what follows.
 
-    Pieces are in upper case; letters beyond ASCII, which are no bases, come
+    A piece begins at ``offset``, or up to ``before`` letters ahead of it where
+    there are as many.  Pieces are in upper case; letters beyond ASCII, which are no bases, come
     out as N.  Cutting bytes takes time in proportion to the sequence, however
     many pieces it gives.  Null and empty sequences give nothing.
     """
     ascii_only = F.when(F.col("s").rlike(r"[^\x00-\x7F]"), F.regexp_replace("s", r"[^\x00-\x7F]", "N")).otherwise(F.col("s"))
     rows = df.select(df[id_col].alias("seq_id"), df[seq_col].alias("s")).where("s <> ''").select("seq_id", ascii_only.cast("binary").alias("s"))
     starts = F.sequence(F.lit(0), F.octet_length("s") - 1, F.lit(size))
-    pieces = F.transform(starts, lambda o: F.struct(o.alias("offset"), F.substr("s", o + 1, F.lit(size + halo)).alias("piece")))
+    ahead = lambda o: F.least(o, F.lit(before))
+    piece = lambda o: F.substr("s", o + 1 - ahead(o), ahead(o) + (size + halo))
+    pieces = F.transform(starts, lambda o: F.struct(o.alias("offset"), piece(o).alias("piece")))
     cut = rows.select("seq_id", F.octet_length("s").alias("total"), F.explode(pieces).alias("x"))
     return cut.select("seq_id", "x.offset", "total", F.upper(F.col("x.piece").cast("string")).alias("piece"))
 

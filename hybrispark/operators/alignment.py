@@ -382,7 +382,7 @@ def _extend(hits: DataFrame, preset: Preset, side: int, band: int = 0) -> DataFr
             pos = batch.column(4).to_numpy().astype(np.int64)
             size = np.array([len(t) for t in q.to_pylist()], np.int64)
             lead = np.where(flipped, size - k - i, i)
-            for rows in _slices(size):
+            for rows in _slices(size, 500_000 if band else 4_000_000):
                 n, width, turned = size[rows], int(size[rows].max()), flipped[rows]
                 take = pa.array(rows)
                 # With gaps, as many letters more on both sides as the ends can move.
@@ -446,11 +446,14 @@ def _with_gaps(preset, band, text, n, wide, seeded, plain, score, wrong, start,
     plain_score = np.where(plain[some], score[some], -(1 << 28))
     reached = (np.maximum(best, plain_score) >= _least(preset, n[some]))
     rows = []
+    gapped = some[reached & (best > plain_score)]
+    traced = dict(zip(gapped.tolist(), zip(*gaps.traces(text[gapped], n[gapped], wide[gapped, band : wide.shape[1] - band], band, preset.local)))) if len(gapped) else {}
     for r, points, alone in zip(some[reached].tolist(), best[reached].tolist(), plain_score[reached].tolist()):
         size = int(n[r])
         if points > alone:
-            ops, column, bad = gaps.trace(text[r, :size], wide[r, band : size + 3 * band], band, preset.local)
-            first = column + band - (len(ops) - len(ops.lstrip("S")))
+            ops, column, bad = traced[r]
+            first = int(column) + band - (len(ops) - len(ops.lstrip("S")))
+            bad = int(bad)
         else:
             points, first, bad = alone, 2 * band, int(wrong[r])
             ops = _clipped(text[r, :size] == wide[r, first : first + size]) if preset.local else "M" * size
@@ -614,9 +617,9 @@ def add_gapped_score(alignments: DataFrame, band: int = 3, local: bool = True, o
 
     @F.pandas_udf("int")
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
-        known = q.notna() & t.notna()
-        found = pd.Series([None] * len(q), dtype="Int32")
-        found[known.to_numpy()] = gapped_scores(q[known].tolist(), t[known].tolist(), band, local)
-        return found
+        known = (q.notna() & t.notna()).to_numpy()
+        found = np.full(len(q), None, object)
+        found[known] = gapped_scores(q[known].tolist(), t[known].tolist(), band, local)
+        return pd.Series(found, dtype="Int32")
 
     return alignments.withColumn(out, score("probe_seq", "derived_seq"))

@@ -52,49 +52,68 @@ def banded_scores(text: np.ndarray, size: np.ndarray, around: np.ndarray, band:
     return best
 
 
-def trace(text: np.ndarray, around: np.ndarray, band: int, local: bool) -> tuple[str, int, int]:
-    """Operations of the best alignment of one probe, the column it begins at, and its mismatches.
+def traces(text: np.ndarray, size: np.ndarray, around: np.ndarray, band: int, local: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Operations of the best alignment of each probe, the column each begins at, and its mismatches.
 
     Of equal scores the one that ends first and on the lowest diagonal is
-    taken, and a match before a gap.  Ends left out by a local alignment are
-    written as soft clips.
+    taken, and a match before a gap, one in the genome before one in the probe.
+    Ends left out by a local alignment are written as soft clips.
     """
-    spread, n = 2 * band + 1, len(text)
-    rows, downs, points = [np.zeros((1, spread), np.int32)], [np.full((1, spread), _LOW, np.int32)], []
-    for i in range(n):
-        points.append(_points(text[None], around[None], i, spread, local))
-        best, down = _step(rows[-1], downs[-1], points[-1], local)
-        rows.append(best)
-        downs.append(down)
-    table = np.concatenate(rows[1:])
+    (n, width), spread = text.shape, 2 * band + 1
+    score = np.zeros((width + 1, n, spread), np.int32)
+    points = np.zeros((width, n, spread), np.int32)
+    down = np.full((n, spread), _LOW, np.int32)
+    for i in range(width):
+        points[i] = _points(text, around, i, spread, local)
+        score[i + 1], down = _step(score[i], down, points[i], local)
+    row = np.arange(n)
     if local:
-        last, d = divmod(int(table.argmax()), spread)
+        past = np.where(np.arange(width)[:, None, None] < size[:, None], score[1:], -1)
+        flat = past.transpose(1, 0, 2).reshape(n, -1)
+        i, d = np.divmod(flat.argmax(1), spread)
     else:
-        last, d = n - 1, int(table[-1].argmax())
-    ops, i, wrong = [], last, 0
-    if last < n - 1:
-        ops.extend("S" * (n - 1 - last))
-    while i >= 0:
-        here = int(rows[i + 1][0, d])
-        if local and here == 0:
+        i = size - 1
+        d = score[size, row].argmax(1)
+    # Operations from the last to the first, one letter each.
+    ops = np.zeros((n, width + spread * (width + 1)), np.uint8) if not local else np.zeros((n, 3 * width + spread), np.uint8)
+    used, wrong = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def put(rows: np.ndarray, letter: str, count: np.ndarray) -> None:
+        for g in range(int(count.max(initial=0))):
+            some = rows[count > g]
+            ops[some, used[some] + g] = ord(letter)
+        used[rows] += count
+
+    put(row, "S", size - 1 - i)
+    live = row
+    while len(live):
+        here = score[i[live] + 1, live, d[live]]
+        going = (i[live] >= 0) & ((here > 0) if local else True)
+        live, here = live[going], here[going]
+        if not len(live):
             break
-        if here == int(rows[i][0, d] + points[i][0, d]):
-            ops.append("M")
-            wrong += int(around[i + d] != text[i])
-            i -= 1
-            continue
-        # Letters of the genome the probe hasn't: back along the row.
-        back = next((g for g in range(1, d + 1) if here == int(rows[i + 1][0, d - g]) + GAP_OPEN + g * GAP_EXTEND), 0)
-        if back:
-            ops.extend("D" * back)
-            d -= back
-            continue
-        gap = next(g for g in range(1, min(i + 1, spread - 1 - d) + 1) if here == int(rows[i + 1 - g][0, d + g]) + GAP_OPEN + g * GAP_EXTEND)
-        ops.extend("I" * gap)
-        i, d = i - gap, d + gap
+        match = here == score[i[live], live, d[live]] + points[i[live], live, d[live]]
+        some = live[match]
+        wrong[some] += around[some, i[some] + d[some]] != text[some, i[some]]
+        put(some, "M", np.ones(len(some), np.int64))
+        i[some] -= 1
+        rest, here = live[~match], here[~match]
+        across, along = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+        for g in range(1, spread):
+            cost = GAP_OPEN + g * GAP_EXTEND
+            fits = (d[rest] >= g) & (across == 0) & (here == score[i[rest] + 1, rest, np.maximum(d[rest] - g, 0)] + cost)
+            across[fits] = g
+            fits = (d[rest] + g < spread) & (i[rest] + 1 >= g) & (along == 0)
+            fits &= here == score[np.maximum(i[rest] + 1 - g, 0), rest, np.minimum(d[rest] + g, spread - 1)] + cost
+            along[fits] = g
+        along[across > 0] = 0
+        put(rest, "D", across)
+        put(rest, "I", along)
+        d[rest] += along - across
+        i[rest] -= along
     begin = i + 1 + d
-    ops.extend("S" * (i + 1))
-    return "".join(reversed(ops)), begin, wrong
+    put(row, "S", i + 1)
+    return [ops[r, :u][::-1].tobytes().decode() for r, u in enumerate(used.tolist())], begin, wrong
 
 
 def cigar(ops: str) -> str:

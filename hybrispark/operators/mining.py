@@ -226,7 +226,7 @@ def mine(df: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", cfg: Minin
 
     found = pieces.mapInArrow(search, schema)
     if cfg.spaced:
-        found = select_spaced(found, "seq_id", "start", "stop", cfg.spacing)
+        found = select_spaced(found, "seq_id", "start", "stop", cfg.spacing, cfg.max_length)
     return found
 
 

@@ -70,13 +70,13 @@ def pdup_competitive() -> str:
         SELECT probe_id, round(a / (1 + a + b), 6) AS on_target, round(b / (1 + a + b), 6) AS off_target FROM x"""
 
 
-def _bases() -> str:
-    return f"""{SEQUENCES}, b0 AS (
-        SELECT seq_id, length(seq) AS n, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM s
+def _bases(source: str, table: str) -> str:
+    return f"""{source}, b0 AS (
+        SELECT seq_id, length(seq) AS n, unnest(string_split(seq, '')) AS b, generate_subscripts(string_split(seq, ''), 1) - 1 AS i FROM {table}
     )"""
 
 
-def windows_sql(cfg: MiningConfig) -> str:
+def windows_sql(cfg: MiningConfig, source: str = SEQUENCES, table: str = "s") -> str:
     """CTEs up to ``t``: one row a base with tm_L, ok_L and gc_L of every length."""
     r = None if cfg.max_homopolymer is None else cfg.max_homopolymer + 1
     flags = {
@@ -106,13 +106,13 @@ def windows_sql(cfg: MiningConfig) -> str:
         cols.append(f"{whole('gc', size - 1)} / {size} * 100 AS gc_{size}")
     sums = ", ".join(f"sum({k}) OVER (PARTITION BY seq_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c_{k}" for k in flags)
     window = "WINDOW w AS (PARTITION BY seq_id ORDER BY i)"
-    return f"""{_bases()},
+    return f"""{_bases(source, table)},
     f AS (SELECT seq_id, n, i, b, {', '.join(f'{v} AS {k}' for k, v in flags.items())} FROM b0 {window}),
     c AS (SELECT *, {sums} FROM f),
     t AS (SELECT seq_id, n, i, {', '.join(cols)} FROM c {window})"""
 
 
-def mining_sql(**settings) -> str:
+def mining_sql(source: str = SEQUENCES, table: str = "s", **settings) -> str:
     cfg = config(**settings)
     sizes = range(cfg.min_length, cfg.max_length + 1)
     allowed = lambda z: f"(ok_{z} AND tm_{z} >= {cfg.min_tm} AND tm_{z} <= {cfg.max_tm})"
@@ -121,12 +121,12 @@ def mining_sql(**settings) -> str:
     )
     order = "z" if cfg.tm_target is None else f"abs(tm - {cfg.tm_target}), z"
     pick = "SELECT * FROM o" if cfg.exhaustive else f"SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY seq_id, i ORDER BY {order}) = 1"
-    found = f"""{windows_sql(cfg)},
+    found = f"""{windows_sql(cfg, source, table)},
     o AS ({rows}),
     k AS ({pick}),
     r AS (
         SELECT k.seq_id, CAST(i AS INT) AS "start", CAST(i + z AS INT) AS "stop", substr(s.seq, i + 1, z) AS probe_seq, round(tm, 2) AS tm
-        FROM k JOIN s ON k.seq_id = s.seq_id WHERE gc >= {cfg.min_gc} - 1e-9 AND gc <= {cfg.max_gc} + 1e-9
+        FROM k JOIN {table} s ON k.seq_id = s.seq_id WHERE gc >= {cfg.min_gc} - 1e-9 AND gc <= {cfg.max_gc} + 1e-9
     )"""
     if not cfg.spaced:
         return f"WITH {found} SELECT * FROM r"
@@ -189,15 +189,6 @@ _SAM = f"""{PROBES}, l AS (
         CASE probe_id % 3 WHEN 0 THEN '5S' || (n - 5) || 'M' WHEN 1 THEN '10M2I' || (n - 12) || 'M1D3H' ELSE n || 'M' END AS align_cigar
     FROM l
 )"""
-_TRIM = f"""{SEQUENCES}, {PROBES}, iv AS (
-    SELECT probe_id, 'm' || (probe_id % 60 + 1) AS align_seqid, "start" * 3 - 40 AS a, "stop" * 3 + 40 AS b,
-        CASE WHEN probe_id % 2 = 0 THEN '-' ELSE '+' END AS align_strand
-    FROM p WHERE "start" IS NOT NULL AND "stop" IS NOT NULL
-), tr AS (
-    SELECT probe_id, align_seqid, CAST(greatest(0, least(a, length(seq))) AS INT) AS align_start,
-        CAST(greatest(0, least(b, length(seq))) AS INT) AS align_stop, align_strand, seq
-    FROM iv JOIN s ON iv.align_seqid = s.seq_id
-)"""
 _MERGED = f"""{PROBES}, q AS (SELECT DISTINCT seqid, seq_id, "start", "stop" FROM p WHERE seqid IS NOT NULL), a AS (
     SELECT score_id, seqid, regexp_extract(seqid, '^(.*):\\d+-\\d+$', 1) AS align_seqid,
         CAST(regexp_extract(seqid, ':(\\d+)-\\d+$', 1) AS INT) + CASE WHEN score_id % 3 = 0 THEN 7 ELSE 0 END AS align_start, on_target_score AS pred
@@ -210,28 +201,94 @@ _MERGED = f"""{PROBES}, q AS (SELECT DISTINCT seqid, seq_id, "start", "stop" FRO
 _WHOLE = "seq_id IS NOT NULL AND probe_seq IS NOT NULL AND tm IS NOT NULL"
 
 
-def _attr(key: str) -> str:
-    """The last value of a key in a field of the quoted dialect, as the entries between semicolons give it."""
-    entries = "list_filter(list_transform(string_split(coalesce(attributes, ''), ';'), lambda f: trim(replace(f, '\"', ''), ' ')), lambda f: f <> '')"
-    at = "CASE WHEN contains(f, '=') THEN instr(f, '=') ELSE instr(f, ' ') END"
-    keyed = f"list_filter({entries}, lambda f: trim(CASE WHEN {at} > 0 THEN substr(f, 1, {at} - 1) ELSE f END, ' ') = '{key}')"
-    value = f"list_transform({keyed}, lambda f: trim(CASE WHEN {at} > 0 THEN substr(f, {at} + 1) ELSE '' END, ' '))"
-    return f"coalesce(list_extract({value}, -1), '')"
+#: Values packed in the attributes, by one pattern for an entry and one for each form of value.
+_PACKED = r"""
+    pd AS (
+        SELECT DISTINCT rec_id, regexp_replace(attributes, '^\s+|\s+$', '', 'g') AS a FROM gtf_io
+    ), pf AS (
+        SELECT rec_id, CASE WHEN a LIKE '"%' THEN replace(regexp_extract(a, '^"((?:[^"]|"")*)"?', 1), '""', '"') ELSE a END AS a FROM pd
+    ), px AS (
+        SELECT rec_id, regexp_extract_all(a, '\w+(?: *= *| +)?(?:"(?:[^"]|"")*"?|''[^'']*''?|[^;；|\t\n\r"''][^;；|\t\n\r]*)?') AS es FROM pf
+    ), pe AS (
+        SELECT rec_id, unnest(es) AS entry, generate_subscripts(es, 1) AS i FROM px
+    ), pq AS (
+        SELECT rec_id, i, regexp_extract(entry, '^\w+') AS attr_key,
+            regexp_replace(regexp_replace(entry, '^\w+(?: *= *| +)?', ''), '\s+$', '') AS v FROM pe
+    ), pv AS (
+        SELECT rec_id, i, attr_key, CASE
+            WHEN v LIKE '"%' THEN [replace(regexp_extract(v, '^"((?:[^"]|"")*)"?', 1), '""', '"')]
+            WHEN v LIKE '''%' THEN [regexp_extract(v, '^''([^'']*)''?', 1)]
+            ELSE list_transform(string_split(v, ','), lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')) END AS vs,
+            CASE WHEN v LIKE '"%' AND NOT regexp_full_match(v, '"(?:[^"]|"")*"') OR v LIKE '''%' AND NOT regexp_full_match(v, '''[^'']*''')
+                THEN 'open_quote' END AS error
+        FROM pq
+    ), pu AS (
+        SELECT rec_id, i, attr_key, error, unnest(vs) AS attr_value, generate_subscripts(vs, 1) AS j FROM pv
+    ), pk AS (
+        SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i, j) AS INT) AS pos, attr_key, attr_value, error FROM pu
+    )"""
+PACKED = f"WITH {_PACKED} SELECT rec_id, pos, attr_key, attr_value FROM pk"
+PACKED_ERRORS = f"WITH {_PACKED} SELECT rec_id, pos, attr_key, attr_value, error FROM pk"
+
+def _last(key: str) -> str:
+    """The last value of a key in a field."""
+    return f"coalesce(arg_max(attr_value, pos) FILTER (attr_key = '{key}'), '')"
 
 
-_EXONS = f"""g0 AS (
-    SELECT DISTINCT rec_id, seqid, "type", "start", "end", score, strand, attributes FROM gtf_io
-    WHERE rec_id IS NOT NULL AND source = 'havlab' AND attributes IS NOT NULL
+_ATTRIBUTES = f"""{_PACKED}, ka AS (
+    SELECT rec_id, {_last('gene_id')} AS gene_id, {_last('gene_name')} AS gene_name, {_last('transcript_id')} AS transcript_id, {_last('Parent')} AS parent
+    FROM pk GROUP BY rec_id
+)"""
+_EXONS = f"""{_ATTRIBUTES}, g0 AS (
+    SELECT DISTINCT rec_id, seqid, "type", "start", "end", score, strand FROM gtf_io WHERE rec_id IS NOT NULL AND attributes IS NOT NULL
 ), ex AS (
-    SELECT rec_id, seqid, "start", "end", strand, score, {_attr('gene_id')} AS gene_id, {_attr('transcript_id')} AS transcript_id_full
-    FROM g0 WHERE lower(trim("type", ' ')) = 'exon' AND "start" < "end" AND strand IN ('+', '-') AND split_part({_attr('transcript_id')}, '.', 1) <> ''
+    SELECT rec_id, seqid, "start", "end", strand, score, gene_id, CASE WHEN transcript_id <> '' THEN transcript_id ELSE parent END AS transcript_id_full
+    FROM g0 JOIN ka USING (rec_id)
+    WHERE lower(trim("type", ' ')) = 'exon' AND "start" < "end" AND strand IN ('+', '-')
+        AND split_part(CASE WHEN transcript_id <> '' THEN transcript_id ELSE parent END, '.', 1) <> ''
 )"""
-#: Exons moved to the first bases of their sequences, as the queries move them.
-_LOCAL = """lo AS (
-    SELECT DISTINCT transcript_id_full, seqid, "start" % 800 AS "start", "start" % 800 + least("end" - "start", 150) AS "end", strand FROM ex
+_NUMBERED = f"""{SEQUENCES}, sn AS (
+    SELECT row_number() OVER o - 1 AS no, seq_id, seq, length(seq) AS size,
+        sum(length(seq) + 1) OVER (ORDER BY CAST(substr(seq_id, 2) AS BIGINT) ROWS UNBOUNDED PRECEDING) - length(seq) - 1 AS at,
+        count(*) OVER () AS n, sum(length(seq) + 1) OVER () AS total
+    FROM s WINDOW o AS (ORDER BY CAST(substr(seq_id, 2) AS BIGINT))
 )"""
-_GENOME = f"""{SEQUENCES}, nm AS (SELECT DISTINCT seqid FROM gtf_io WHERE seqid IS NOT NULL), gn AS (
-    SELECT nm.seqid AS seq_id, seq FROM nm JOIN s ON s.seq_id = 'm' || ((length(nm.seqid) * 7 + ascii(substr(nm.seqid, length(nm.seqid), 1))) % 60 + 1)
+#: All sequences, shared out among the names of the annotation in order and joined by an N.
+_GENOME = f"""{_NUMBERED}, nm AS (
+    SELECT seqid, row_number() OVER (ORDER BY seqid) - 1 AS r, count(*) OVER () AS names FROM (SELECT DISTINCT seqid FROM gtf_io WHERE seqid IS NOT NULL)
+), tt AS (SELECT max(n) AS n, max(total) AS total FROM sn), lg AS (
+    SELECT coalesce(max("end" - "start"), 0) AS longest FROM gtf_io WHERE lower(trim("type", ' ')) = 'exon' AND "start" < "end"
+), n1 AS (
+    SELECT seqid, n, total, r * n // names AS first, greatest(r * n // names, (r + 1) * n // names - 1) AS own, longest FROM nm, tt, lg
+), n2 AS (
+    SELECT n1.*, sn.at + longest + 1 AS reach FROM n1 JOIN sn ON sn.no = first
+), n3 AS (
+    SELECT n2.*, greatest(own, (SELECT max(no) FROM sn WHERE sn.at <= reach % total) + reach // total * n2.n) AS last FROM n2
+), gi AS (
+    SELECT seqid, n, unnest(range(CAST(first AS BIGINT), CAST(last + 1 AS BIGINT))) AS i FROM n3
+), gn AS (
+    SELECT seqid AS seq_id, string_agg(seq, 'N' ORDER BY i) AS seq FROM gi JOIN sn ON sn.no = i % gi.n GROUP BY seqid
+)"""
+
+
+def _local(rows: str) -> str:
+    """Rows moved to a start that lets them end within the genome made of all sequences."""
+    return f"""SELECT {rows}.* REPLACE (
+        CAST({rows}."start" % greatest(length(gn.seq) - ({rows}."end" - {rows}."start"), 1) AS INT) AS "start",
+        CAST({rows}."start" % greatest(length(gn.seq) - ({rows}."end" - {rows}."start"), 1) + {rows}."end" - {rows}."start" AS INT) AS "end")
+        FROM {rows} JOIN gn ON gn.seq_id = {rows}.seqid"""
+
+
+#: Exons as whole as they are, moved into that genome.
+_LOCAL = f"""lo AS (SELECT DISTINCT transcript_id_full, seqid, "start", "end", strand FROM ({_local('ex')}))"""
+_TRIM = f"""{_NUMBERED}, {PROBES}, iv AS (
+    SELECT probe_id, sn.seq_id AS align_seqid, "start" * 3 - 40 AS a, "stop" * 3 + 40 AS b,
+        CASE WHEN probe_id % 2 = 0 THEN '-' ELSE '+' END AS align_strand, seq
+    FROM p JOIN sn ON sn.no = ((probe_id % sn.n) + sn.n) % sn.n WHERE "start" IS NOT NULL AND "stop" IS NOT NULL
+), tr AS (
+    SELECT probe_id, align_seqid, CAST(greatest(0, least(a, length(seq))) AS INT) AS align_start,
+        CAST(greatest(0, least(b, length(seq))) AS INT) AS align_stop, align_strand, seq
+    FROM iv
 )"""
 _PART = "CASE WHEN {strand} = '-' THEN " + turned("substr(seq, {a} + 1, {b} - {a})") + " ELSE substr(seq, {a} + 1, {b} - {a}) END"
 
@@ -276,12 +333,8 @@ _TARGETS = """tg AS (
 )"""
 
 
-def _align_sql(local: bool) -> str:
-    """Placements that share a seed of 20 with a probe, scored letter by letter."""
-    mined = mining_sql(spacing=200)
-    head = mined[: mined.rindex("SELECT r.* FROM r JOIN y")]
-    base = "substr(r.probe_seq, 25, 1)"
-    probe = f"substr(r.probe_seq, 1, 24) || {turned(base)} || substr(r.probe_seq, 26)" if local else "r.probe_seq"
+def _placements(probes: str, local: bool, k: int | None) -> str:
+    """CTEs up to ``al``: placements that share a seed of 20 with a probe of the CTE ``probes`` (q), scored letter by letter."""
     score = (
         "list_reduce(list_prepend({'here': 0, 'best': 0}, list_transform(same, lambda x: {'here': x, 'best': 0})), "
         "lambda a, x: {'here': greatest(0, a.here + CASE WHEN x.here = 1 THEN 2 ELSE -6 END), 'best': greatest(a.best, a.here + CASE WHEN x.here = 1 THEN 2 ELSE -6 END)}).best"
@@ -289,14 +342,12 @@ def _align_sql(local: bool) -> str:
         else "-6 * (length(q) - list_sum(same))"
     )
     least = "20 + 8 * ln(length(q))" if local else "-0.6 - 0.6 * length(q)"
-    top = "QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, seq_id, pos0, strand) <= 3" if local else ""
-    more = ", derived AS derived_seq" if local else ""
-    return f"""{head},
-    pr AS (SELECT DISTINCT {probe} AS q FROM r JOIN y ON r.seq_id = y.seq_id AND r."start" = y.pos0),
+    top = f"QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, seq_id, pos0, strand) <= {k}" if k else ""
+    return f"""
     sd AS (
         SELECT q, strand, i, substr(x, i + 1, 20) AS seed FROM (
-            SELECT q, '+' AS strand, q AS x, unnest(range(0, length(q) - 19)) AS i FROM pr
-            UNION ALL SELECT q, '-', {turned('q')}, unnest(range(0, length(q) - 19)) FROM pr)
+            SELECT q, '+' AS strand, q AS x, unnest(range(0, length(q) - 19)) AS i FROM {probes}
+            UNION ALL SELECT q, '-', {turned('q')}, unnest(range(0, length(q) - 19)) FROM {probes})
     ),
     gx AS (
         SELECT seq_id, i - 1 AS pos, w AS seed FROM (
@@ -309,12 +360,56 @@ def _align_sql(local: bool) -> str:
         FROM pl JOIN s ON pl.seq_id = s.seq_id WHERE pos0 + length(q) <= length(seq)
     ),
     ss AS (
-        SELECT *, list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(q, i, 1) = substr(derived, i, 1) THEN 1 ELSE 0 END) AS same FROM wn
+        SELECT *, CASE WHEN q = derived THEN [1 for x in range(length(q))] ELSE list_transform(range(1, length(q) + 1), lambda i: CASE WHEN substr(q, i, 1) = substr(derived, i, 1) THEN 1 ELSE 0 END) END AS same FROM wn
     ),
-    sc AS (SELECT *, CAST({score} AS INT) AS score FROM ss)
+    sc AS (SELECT *, CAST({score} AS INT) AS score FROM ss),
+    al AS (SELECT * FROM sc WHERE score >= {least} {top})"""
+
+
+def _align_sql(local: bool) -> str:
+    """All distinct sequences of test_probes and of the probes mined by default, aligned to the sequences."""
+    base = "substr(q, 25, 1)"
+    probe = f"substr(q, 1, 24) || {turned(base)} || substr(q, 26)" if local else "q"
+    more = ", derived AS derived_seq" if local else ""
+    return f"""{mining_sql().removesuffix(' SELECT * FROM r')}, {PROBES},
+    pa AS (SELECT probe_seq AS q FROM p WHERE probe_seq IS NOT NULL UNION SELECT probe_seq FROM r),
+    pr AS (SELECT DISTINCT {probe} AS q FROM pa),
+    {_placements('pr', local, 3 if local else None)}
     SELECT q AS probe_seq, seq_id AS align_seqid, CAST(pos0 AS INT) AS align_start, CAST(pos0 + length(q) AS INT) AS align_stop, strand AS align_strand,
         score AS align_score, CAST(length(q) - list_sum(same) AS INT) AS mismatches{more}
-    FROM sc WHERE score >= {least} {top}"""
+    FROM al"""
+
+
+def _flagship_sql() -> str:
+    """Probes mined by default with their highest word count and the sums of their predictions at and off the target."""
+    a, b, c, d = DISCRIMINANT[42]
+    gc = "((length(q) - length(replace(replace(q, 'G', ''), 'C', ''))) / length(q) * 100)"
+    words = "unnest(list_transform(range(1, length({x}) - 16), lambda i: substr({x}, i, 18)))"
+    return f"""{mining_sql().removesuffix(' SELECT * FROM r')},
+    pr AS (SELECT DISTINCT probe_seq AS q FROM r),
+    kc AS (SELECT kmer, count(*) AS cnt FROM (SELECT {words.format(x='seq')} AS kmer FROM s WHERE length(seq) >= 18) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer),
+    mk AS (SELECT q, max(coalesce(cnt, 0)) AS m FROM (SELECT DISTINCT q, {words.format(x='q')} AS kmer FROM pr) LEFT JOIN kc USING (kmer) GROUP BY q),
+    {_placements('pr', True, 100)},
+    pd AS (SELECT q, seq_id, pos0, least(greatest(1 / (1 + exp(-(length(q) * {a} + score * {b} + {gc} * {c} + {d}))), 0), 1) AS pred FROM al),
+    sm AS (
+        SELECT r.seq_id || ':' || "start" || '-' || "stop" AS seqid, sum(CASE WHEN pd.seq_id = r.seq_id AND pos0 = "start" THEN pred END) AS on_score,
+            sum(CASE WHEN NOT (pd.seq_id = r.seq_id AND pos0 = "start") THEN pred END) AS off_score
+        FROM r JOIN pd ON r.probe_seq = pd.q GROUP BY 1
+    )
+    SELECT r.seq_id || ':' || "start" || '-' || "stop" AS seqid, probe_seq, tm, CAST(m AS INT) AS max_kmer,
+        CASE WHEN sm.seqid IS NOT NULL THEN round(coalesce(on_score, 0.0), 6) END AS on_target_score,
+        CASE WHEN sm.seqid IS NOT NULL THEN round(coalesce(off_score, 0.0), 6) END AS off_target_score
+    FROM r LEFT JOIN mk ON mk.q = r.probe_seq LEFT JOIN sm ON sm.seqid = r.seq_id || ':' || "start" || '-' || "stop"
+    """
+
+
+def _mine_flattened_sql() -> str:
+    """Probes of all shared stretches, whole and within the genome made of all sequences."""
+    source = f"""{_FLAT}, {_GENOME}, fm AS (SELECT DISTINCT seqid, "start", "end", strand FROM ({_local('fl')})), fs AS (
+        SELECT {_LABEL} AS seq_id, {_part()} AS seq FROM fm JOIN gn ON fm.seqid = gn.seq_id
+    )"""
+    mined = mining_sql(source=source, table="fs").removesuffix(" SELECT * FROM r")
+    return f"""{mined} SELECT *, seq_id || ':' || "start" || '-' || "stop" AS seqid FROM r"""
 
 
 def build(mining: dict[str, dict]) -> dict[str, str]:
@@ -341,8 +436,9 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
         "tm_windows": tm_windows_sql(),
         "kmer_count": f"WITH {_kmers(18)} SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer",
         "kmer_canonical": f"WITH {_kmers(11, True)} SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer HAVING count(*) >= 2",
-        "kmer_query": f"""WITH {_kmers(11)}, {PROBES}, ix AS (SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer)
-            SELECT probe_id, substr(probe_seq, 1, 11) AS kmer, coalesce(cnt, 0) AS cnt FROM p LEFT JOIN ix ON substr(probe_seq, 1, 11) = ix.kmer WHERE length(probe_seq) >= 11""",
+        "kmer_query": f"""WITH {_kmers(11)}, {PROBES}, ix AS (SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer),
+            pw AS (SELECT probe_id, unnest(list_transform(range(1, length(probe_seq) - 9), lambda i: substr(probe_seq, i, 11))) AS kmer FROM p WHERE length(probe_seq) >= 11)
+            SELECT probe_id, pw.kmer, coalesce(cnt, 0) AS cnt FROM pw LEFT JOIN ix ON pw.kmer = ix.kmer""",
         "max_kmer": f"""WITH {PROBES}, w AS (
                 SELECT probe_id, probe_seq, unnest(list_transform(range(1, length(probe_seq) - 16), lambda i: substr(probe_seq, i, 18))) AS kmer FROM p WHERE length(probe_seq) >= 18
             ), ix AS (SELECT kmer, count(*) AS cnt FROM w WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer),
@@ -366,19 +462,23 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
         "probe_csv_text": f"""WITH {PROBES} SELECT concat_ws(',', seq_id, "start", "stop", probe_seq, printf('%.2f', tm)) AS value FROM p WHERE {_WHOLE}""",
         "fasta_text": f"""WITH {PROBES}, x AS (SELECT probe_id, probe_seq || probe_seq AS q FROM p WHERE {_WHOLE} AND probe_seq <> '')
             SELECT '>' || probe_id || chr(10) || substr(q, 1, 60) || CASE WHEN length(q) > 60 THEN chr(10) || substr(q, 61, 60) ELSE '' END AS value FROM x""",
-        "gtf_attributes": f"""WITH d AS (SELECT DISTINCT rec_id, attributes FROM gtf_io WHERE rec_id IS NOT NULL AND source = 'havlab')
-            SELECT rec_id, {_attr('gene_id')} AS gene_id, {_attr('gene_name')} AS gene_name, {_attr('transcript_id')} AS transcript_id_full, split_part({_attr('transcript_id')}, '.', 1) AS transcript_id FROM d""",
+        "gtf_attributes": f"""WITH {_ATTRIBUTES}, d AS (SELECT DISTINCT rec_id, attributes FROM gtf_io WHERE rec_id IS NOT NULL)
+            SELECT rec_id, coalesce(gene_id, '') AS gene_id, coalesce(gene_name, '') AS gene_name, coalesce(transcript_id, '') AS transcript_id_full,
+                split_part(coalesce(transcript_id, ''), '.', 1) AS transcript_id FROM d LEFT JOIN ka USING (rec_id)""",
         "gtf_filter": """SELECT DISTINCT rec_id, seqid, "start", "end" FROM gtf_io WHERE "type" = 'exon' AND regexp_matches(seqid, '^chr') AND NOT regexp_matches(seqid, 'X') AND "start" IS NOT NULL AND "end" IS NOT NULL""",
         "classify_ids": f"SELECT DISTINCT seq_id, CASE {kinds} ELSE 'canonical' END AS class FROM test_probes WHERE seq_id IS NOT NULL",
         "filter_ids": r"SELECT DISTINCT seq_id FROM test_probes WHERE regexp_matches(seq_id, 'chr|ctg') AND NOT regexp_matches(seq_id, '\(-\)')",
-        "exon_seqs": f"""WITH {_EXONS}, {_LOCAL}, {_GENOME}, d AS (SELECT DISTINCT seqid, "start", "end", strand FROM lo)
+        "exon_seqs": f"""WITH {_EXONS}, {_GENOME}, {_LOCAL}, d AS (SELECT DISTINCT seqid, "start", "end", strand FROM lo)
             SELECT {_LABEL} AS label, {_part()} AS sequence FROM d JOIN gn ON d.seqid = gn.seq_id WHERE "start" < length(seq)""",
         "introns": f"""WITH {_EXONS}, x AS (
                 SELECT transcript_id_full, seqid, "end" AS "start", lead("start") OVER (PARTITION BY transcript_id_full, seqid, strand ORDER BY "start", "end") AS e, strand FROM ex
             ) SELECT transcript_id_full, seqid, "start", e AS "end", strand FROM x WHERE "start" < e""",
-        "spliced_seq": f"""WITH {_EXONS}, {_LOCAL}, {_GENOME}, d AS (SELECT * FROM lo)
-            SELECT transcript_id_full, string_agg({_part()}, '' ORDER BY CASE WHEN strand = '+' THEN "start" ELSE -"start" END, "end") AS sequence
+        "spliced_seq": f"""WITH {_EXONS}, {_GENOME}, {_LOCAL}, d AS (SELECT * FROM lo)
+            SELECT transcript_id_full, string_agg({_part()}, '' ORDER BY CASE WHEN strand = '+' THEN "start" ELSE -"start" END, "end", {_part()}) AS sequence
             FROM d JOIN gn ON d.seqid = gn.seq_id WHERE "start" < length(seq) GROUP BY transcript_id_full""",
+        "mine_flattened": _mine_flattened_sql(),
+        "pipeline_flagship": _flagship_sql(),
+        "p2_values": PACKED_ERRORS,
         "flatten_isoforms": f"WITH {_FLAT} SELECT * FROM fl",
         "append_same": f"""WITH {_TARGETS} SELECT probe_ord, {joined(True)} AS sequence, e.id || '_' || e.seq AS entry FROM tg CROSS JOIN {_set(1)} e""",
         "append_unique": f"""WITH {_TARGETS} SELECT probe_ord, {turned('e.seq')} || 'TTT' || probe_seq AS sequence, e.id || '_' || e.seq AS entry FROM tn JOIN {_set(60)} e ON e.i = no""",
@@ -393,29 +493,3 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
             SELECT probe_ord, o.entry AS "outer", e.id || '_' || e.seq AS "inner" FROM tn JOIN {_set(60)} e ON e.i = no CROSS JOIN o""",
     }
     return out | {name: mining_sql(**settings) for name, settings in mining.items()}
-
-
-#: Values packed in the attributes, by one pattern for an entry and one for each form of value.
-PACKED = r"""
-    WITH d AS (
-        SELECT DISTINCT rec_id, regexp_replace(attributes, '^\s+|\s+$', '', 'g') AS a FROM gtf_io
-    ), f AS (
-        SELECT rec_id, CASE WHEN a LIKE '"%' THEN replace(regexp_extract(a, '^"((?:[^"]|"")*)"?', 1), '""', '"') ELSE a END AS a FROM d
-    ), x AS (
-        SELECT rec_id, regexp_extract_all(a, '\w+(?: *= *| +)?(?:"(?:[^"]|"")*"?|''[^'']*''?|[^;；|\t\n\r"''][^;；|\t\n\r]*)?') AS es FROM f
-    ), e AS (
-        SELECT rec_id, unnest(es) AS entry, generate_subscripts(es, 1) AS i FROM x
-    ), k AS (
-        SELECT rec_id, i, regexp_extract(entry, '^\w+') AS attr_key,
-            regexp_replace(regexp_replace(entry, '^\w+(?: *= *| +)?', ''), '\s+$', '') AS v FROM e
-    ), q AS (
-        SELECT rec_id, i, attr_key, CASE
-            WHEN v LIKE '"%' THEN [replace(regexp_extract(v, '^"((?:[^"]|"")*)"?', 1), '""', '"')]
-            WHEN v LIKE '''%' THEN [regexp_extract(v, '^''([^'']*)''?', 1)]
-            ELSE list_transform(string_split(v, ','), lambda w: regexp_replace(w, '^\s+|\s+$', '', 'g')) END AS vs
-        FROM k
-    ), u AS (
-        SELECT rec_id, i, attr_key, unnest(vs) AS attr_value, generate_subscripts(vs, 1) AS j FROM q
-    )
-    SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY i, j) AS INT) AS pos, attr_key, attr_value FROM u
-"""

@@ -25,9 +25,9 @@ def mine_candidates(sequences: DataFrame, id_col: str = "seq_id", seq_col: str =
     return mine(sequences, id_col, seq_col, cfg).withColumn("seqid", probe_id("seq_id", "start", "stop"))
 
 
-def align_candidates(probes: DataFrame, genome: DataFrame, preset="very-sensitive-local", k: int | None = 100) -> DataFrame:
-    """Alignments of probes, one row for each probe and place, keyed by ``seqid``."""
-    found = align(probes, genome, "probe_seq", preset, k)
+def align_candidates(probes: DataFrame, genome: DataFrame, preset="very-sensitive-local", k: int | None = 100, **settings) -> DataFrame:
+    """Alignments of probes, one row for each probe and place, keyed by ``seqid``; settings are those of align()."""
+    found = align(probes, genome, "probe_seq", preset, k, **settings)
     keys = probes.select("seqid", F.upper("probe_seq").alias("probe_seq"))
     return keys.join(found.hint("merge"), "probe_seq").drop("probe_seq")
 
@@ -60,7 +60,7 @@ def design_probes(
     """
     genome = sequences if genome is None else genome
     probes = add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k), k)
-    merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments))
+    merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments, longest=cfg.max_length))
     if with_pdup:
         merged = merged.withColumn("pdup", thermo.duplex_probability("probe_seq"))
     merged = predict_trees(merged, model, temperature) if model else predict_discriminant(merged, temperature)

@@ -32,6 +32,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_values(spark, sf_dir).select("rec_id", "pos", "attr_key", "attr_value")
 
 
+def p2_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, type and strand of every record packed in one field, those in brackets kept together."""
+    rows = read_table(spark, sf_dir, "gtf_io").where("rec_id IS NOT NULL")
+    packed = F.concat(F.lit("bounds=["), "start", F.lit(","), "end", F.lit("]; type={"), "type", F.lit("}|strand ("), "strand", F.lit(",0),9"))
+    return split_packed_values(rows.select("rec_id", packed.alias("attributes")), "rec_id", "attributes", brackets=True).drop("error")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered stretches of every gene and the gaps between them."""
     exons = (
@@ -170,6 +177,7 @@ MINING = {
     "mine_gc": {"min_gc": 40, "max_gc": 60},
     "mine_no_overlap": {"overlap": False},
     "mine_spacing": {"spacing": 10},
+    "mine_chunked": {"chunk_size": 1_000, "spacing": 3},
 }
 
 # --- k-mers -------------------------------------------------------------------
@@ -249,6 +257,12 @@ def _aligned(spark, sf_dir):
     return given.unionByName(mine(sequences(spark, sf_dir)).select("probe_seq")).distinct()
 
 
+def _longest(spark, sf_dir):
+    """The length of the longest of them, without mining."""
+    given = read_table(spark, sf_dir, "test_probes").agg(F.max(F.length("probe_seq"))).first()[0] or 0
+    return max(given, config().max_length)
+
+
 def _mutated(spark, sf_dir):
     """The same with base 25 changed for its complement; shorter ones as they are."""
     s = F.col("probe_seq")
@@ -259,11 +273,19 @@ def _mutated(spark, sf_dir):
 
 def align_topk(spark, sf_dir):
     """Probes with a mismatch aligned to the sequences of mine_probes, the 3 best places of each."""
-    return align(_mutated(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive-local", k=3)
+    return align(_mutated(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive-local", k=3, longest=_longest(spark, sf_dir))
 
 
 def align_end_to_end(spark, sf_dir):
-    return align(_aligned(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive", k=None).drop("derived_seq")
+    return align(_aligned(spark, sf_dir), sequences(spark, sf_dir), preset="very-sensitive", k=None, longest=_longest(spark, sf_dir)).drop("derived_seq")
+
+
+def align_gapped(spark, sf_dir):
+    """Probes of 38 bases and more, mined by default, without their 25th base, aligned with gaps, the 2 best places of each."""
+    cfg = config(min_length=38, max_length=42)
+    mined = mine(sequences(spark, sf_dir), cfg=cfg)
+    cut = mined.select(F.concat(F.substr("probe_seq", F.lit(1), F.lit(24)), F.substr("probe_seq", F.lit(26))).alias("probe_seq"))
+    return align(cut, sequences(spark, sf_dir), preset="very-sensitive-local", k=2, longest=cfg.max_length - 1, band=2)
 
 
 # --- merging, scoring, models -----------------------------------------------------
@@ -487,6 +509,7 @@ def pipeline_flagship(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "p2_values": p2_values,
     "p2_found": p2_found,
+    "p2_bracketed": p2_bracketed,
     "p4_found": p4_found,
     "dna_scan": dna_scan,
     "chrom_sizes": chrom_sizes,
@@ -511,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "fetch_seq": fetch_seq,
     "align_topk": align_topk,
     "align_end_to_end": align_end_to_end,
+    "align_gapped": align_gapped,
     "merge_probes": merge_probes,
     "score_probes": score_probes,
     "lda_predict": lda_predict,
@@ -542,6 +566,16 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     **oracles.build(MINING),
     "p2_found": oracles.PACKED,
+    "p2_bracketed": """
+        WITH d AS (
+            SELECT DISTINCT rec_id, "start" AS a, "end" AS b, "type" AS t, strand AS x FROM gtf_io
+            WHERE rec_id IS NOT NULL AND "start" IS NOT NULL AND "end" IS NOT NULL AND "type" IS NOT NULL AND strand IS NOT NULL
+        )
+        SELECT rec_id, CAST(1 AS INT) AS pos, 'bounds' AS attr_key, '[' || a || ',' || b || ']' AS attr_value FROM d
+        UNION ALL SELECT rec_id, 2, 'type', '{' || t || '}' FROM d
+        UNION ALL SELECT rec_id, 3, 'strand', '(' || x || ',0)' FROM d
+        UNION ALL SELECT rec_id, 4, 'strand', '9' FROM d
+    """,
     "p4_found": """
         WITH e AS (
             SELECT DISTINCT seqid, gene_id, CAST("start" AS BIGINT) AS s, CAST("end" AS BIGINT) AS e

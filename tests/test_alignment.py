@@ -57,7 +57,7 @@ def test_scores_with_gaps(local):
         wide[0, 2 : 2 + len(part)] = part[: wide.shape[1] - 2]
         score = int(gaps.banded_scores(text, np.array([len(q)]), wide, band, local)[0])
         assert score == best_with_gaps(q, t, local)
-        ops, column, wrong = gaps.trace(text[0], wide[0], band, local)
+        (ops,), (column,), (wrong,) = gaps.traces(text, np.array([len(q)]), wide, band, local)
         aligned, at, i, mismatches = 0, column, len(ops) - len(ops.lstrip("S")), 0
         previous = ""
         for op in ops.strip("S"):

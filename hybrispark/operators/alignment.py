@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybrispark.errors import ConfigurationError, ReferenceIndexError
-from hybrispark.operators import gaps
+from hybrispark.operators import bases, gaps
 from hybrispark.operators.gaps import MATCH, MISMATCH
 from hybrispark.operators.mining import chunks
 from hybrispark.operators.sam import fetch_sequences
@@ -62,13 +62,6 @@ HOT = 256
 #: Such words up to which their table is broadcast; it holds twelve bytes a word.
 MOST_HOT = 200_000
 
-_BASE = np.full(256, 4, np.uint8)
-for _i, _c in enumerate(b"ACGT"):
-    _BASE[_c] = _i
-_TURN = np.arange(256, dtype=np.uint8)
-_TURN[np.frombuffer(b"ACGTacgt", np.uint8)] = np.frombuffer(b"TGCAtgca", np.uint8)
-
-
 def word_length(seed: int) -> int:
     """Letters of the words that stand for seeds of some length."""
     return min(WORD, seed - 1 + seed % 2)
@@ -83,14 +76,9 @@ def words(base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     The code is the smaller of the word's own and its reverse complement's.
     """
-    n = max(len(base) - k + 1, 0)
-    own, other = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    letter = (base & 3).astype(np.int64)
-    for i in range(k):
-        own = (own << 2) | letter[i : i + n]
-        other |= (3 - letter[i : i + n]) << (2 * i)
-    bad = np.concatenate([[0], np.cumsum(base == 4)])
-    return np.minimum(own, other), other < own, bad[k : k + n] == bad[:n]
+    own, whole = bases.words(base, k)
+    other = bases.turned_words(base, k)
+    return np.minimum(own, other), other < own, whole
 
 
 def _stretch_codes(base: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +151,7 @@ def build_seed_index(
             ids = batch.column(0)
             for r, (offset, total, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 letters = np.frombuffer(_ascii([text]), np.uint8)
-                base = _BASE[letters]
+                base = bases.CODE[letters]
                 low = offset - min(offset, ahead)
                 code, turned, whole = words(base, k)
                 place = np.arange(offset - low, min(offset - low + piece, len(code)))
@@ -195,7 +183,7 @@ def build_seed_index(
         for batch in batches:
             parts = []
             for offset, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code, _, whole = words(_BASE[np.frombuffer(_ascii([text]), np.uint8)], k)
+                code, _, whole = words(bases.CODE[np.frombuffer(_ascii([text]), np.uint8)], k)
                 parts.append(code[:piece][whole[:piece]])
             code, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["seed", "n"])
@@ -252,7 +240,7 @@ def _probe_words(q: DataFrame, seed: int, every: int) -> DataFrame:
     def _cut(column: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(t) for t in texts], np.int64)
         # Signs between the texts end every word and every stretch.
-        base = _BASE[np.frombuffer(_ascii(["\n" * w + t for t in texts]), np.uint8)]
+        base = bases.CODE[np.frombuffer(_ascii(["\n" * w + t for t in texts]), np.uint8)]
         code, turned, whole = words(base, k)
         first = np.cumsum(sizes + w) - sizes
         owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - k + 1, 0))
@@ -392,7 +380,7 @@ def _extend(hits: DataFrame, preset: Preset, side: int, band: int = 0) -> DataFr
                     # Turned windows are read from their last letter to their first.
                     j = n[turned, None] + 2 * more - 1 - np.arange(width + 2 * more)
                     back = np.take_along_axis(wide[turned], np.maximum(j, 0), 1)
-                    wide[turned] = np.where(j >= 0, _TURN[back], 0)
+                    wide[turned] = np.where(j >= 0, bases.TURN[back], 0)
                 filled = np.arange(width) < n[:, None]
                 window = np.where(filled, wide[:, more : more + width], 0)
                 asked = q.take(take)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybrispark.errors import ReferenceIndexError
+from hybrispark.errors import ConfigurationError, ReferenceIndexError
 from hybrispark.functions.seqfn import kmers, rev_comp
+from hybrispark.operators import bases
 from hybrispark.operators.mining import chunks
 
 
@@ -16,10 +21,51 @@ def canonical(word: Column) -> Column:
 
 
 def _words(df: DataFrame, id_col: str, seq_col: str, k: int, both_strands: bool) -> DataFrame:
+    """(kmer) of every whole word, as texts; for words too long to be numbers."""
     # Chunks with a halo keep rows short: a word is cut in time with its place in the row.
     pieces = chunks(df, id_col, seq_col, 256, k - 1)
-    words = pieces.select(F.explode(kmers("piece", k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    return words.select(canonical(F.col("kmer")).alias("kmer")) if both_strands else words
+    found = pieces.select(F.explode(kmers("piece", k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    return found.select(canonical(F.col("kmer")).alias("kmer")) if both_strands else found
+
+
+def _packed(base: np.ndarray, k: int, both_strands: bool) -> tuple[np.ndarray, np.ndarray]:
+    code, whole = bases.words(base, k)
+    return (np.minimum(code, bases.turned_words(base, k)) if both_strands else code), whole
+
+
+def count_codes(df: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", k: int = 18, canonical: bool = False, piece: int = 65_536, run: int = 1_000_000) -> DataFrame:
+    """(code, cnt) of every word of up to 31 letters, packed; counted within runs of about ``run`` words before the shuffle."""
+    if not 1 <= k <= bases.MOST:
+        raise ConfigurationError(f"packed words have 1 to {bases.MOST} letters")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            low = 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and size < run:
+                    size += len(texts[high]) + 1
+                    high += 1
+                code, whole = _packed(bases.to_codes("\n".join(texts[low:high])), k, canonical)
+                held.append(code[whole])
+                low = high
+                if sum(map(len, held)) >= run:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    # A chunk holds the words that begin in it, the last of which reach into its halo.
+    pieces = chunks(df, id_col, seq_col, piece, k - 1).select("piece")
+    counted = pieces.mapInArrow(count, "code long, n long")
+    return counted.groupBy("code").agg(F.sum("n").alias("cnt"))
 
 
 def build_kmer_index(
@@ -30,18 +76,33 @@ def build_kmer_index(
     canonical: bool = False,
     lower: int | None = None,
     upper: int | None = None,
+    coded: bool = False,
 ) -> DataFrame:
     """(kmer, cnt) over all sequences, words with other letters than A, C, G, T left out.
 
-    Counting combines before the shuffle.  ``lower`` and ``upper`` bound the
-    counts kept.  Null, empty and short sequences have no words.
+    Words of up to 31 letters are counted as numbers, in part before the
+    shuffle; ``coded`` leaves them so, as (code, cnt).  ``lower`` and ``upper``
+    bound the counts kept.  Null, empty and short sequences have no words.
     """
-    counts = _words(df, id_col, seq_col, k, canonical).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    if k <= bases.MOST:
+        counts = count_codes(df, id_col, seq_col, k, canonical)
+    elif coded:
+        raise ConfigurationError(f"words of more than {bases.MOST} letters have no code")
+    else:
+        counts = _words(df, id_col, seq_col, k, canonical).groupBy("kmer").agg(F.count("*").alias("cnt"))
     if lower is not None:
         counts = counts.where(F.col("cnt") >= lower)
     if upper is not None:
         counts = counts.where(F.col("cnt") <= upper)
-    return counts
+    return counts if coded or k > bases.MOST else _spelt(counts, k)
+
+
+def _spelt(counts: DataFrame, k: int) -> DataFrame:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([bases.spell(batch.column(0).to_numpy(), k), batch.column(1)], names=["kmer", "cnt"])
+
+    return counts.mapInArrow(spell, "kmer string, cnt long")
 
 
 def save_kmer_index(index: DataFrame, path: str, k: int, canonical: bool = False) -> None:
@@ -69,17 +130,53 @@ def query_kmers(index: DataFrame, words: DataFrame, col: str = "kmer", canonical
     return keyed.join(counts, "__k", "left").drop("__k").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
 
 
+def _probe_codes(seqs: DataFrame, k: int, canonical: bool) -> DataFrame:
+    """(sequence, code) of the different words of each sequence; -1 for those with other letters."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.upper() for t in batch.column(0).to_pylist()]
+            low = 0
+            while low < len(texts):
+                high, held = low, 0
+                while high < len(texts) and held < 1_000_000:
+                    held += len(texts[high]) + 1
+                    high += 1
+                some = texts[low:high]
+                sizes = np.array([len(t) for t in some], np.int64)
+                base = bases.to_codes("\n".join(some))
+                code, whole = _packed(base, k, canonical)
+                code = np.where(whole, code, -1)
+                count = np.maximum(sizes - k + 1, 0)
+                first = np.cumsum(sizes + 1) - sizes - 1
+                owner = np.repeat(np.arange(len(some)), count)
+                code = code[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(owner))]
+                order = np.lexsort((code, owner))
+                owner, code = owner[order], code[order]
+                fresh = np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]))[: len(owner)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low).take(pa.array(owner[fresh])), pa.array(code[fresh])], names=["sequence", "code"]
+                )
+                low = high
+
+    return seqs.mapInArrow(cut, "sequence string, code long")
+
+
 def max_kmer(index: DataFrame, probes: DataFrame, seq_col: str = "probe_seq", k: int = 18, canonical: bool = False) -> DataFrame:
     """(sequence, max_kmer) of every distinct sequence: the highest count among its words.
 
-    Null for a sequence shorter than k.  Words are combined before the join,
-    so that a word many probes share is looked up once.
+    Null for a sequence shorter than k.  The index may be coded, which makes
+    the join one of numbers.
     """
     seqs = probes.select(F.col(seq_col).alias("sequence")).where("sequence IS NOT NULL").distinct()
-    exploded = seqs.select("sequence", F.explode(F.array_distinct(kmers(F.upper("sequence"), k))).alias("kmer"))
-    if canonical:
-        exploded = exploded.withColumn("kmer", F.least("kmer", rev_comp("kmer")))
-    found = exploded.join(index.select("kmer", "cnt").hint("merge"), "kmer", "left")
+    if "code" in index.columns:
+        key, asked = "code", _probe_codes(seqs, k, canonical)
+    else:
+        key = "kmer"
+        asked = seqs.select("sequence", F.explode(F.array_distinct(kmers(F.upper("sequence"), k))).alias("kmer"))
+        if canonical:
+            asked = asked.withColumn("kmer", F.least("kmer", rev_comp("kmer")))
+    found = asked.join(index.select(key, "cnt").hint("merge"), key, "left")
     best = found.groupBy("sequence").agg(F.max(F.coalesce("cnt", F.lit(0))).cast("int").alias("max_kmer"))
     return seqs.join(best.hint("merge"), "sequence", "left")
 

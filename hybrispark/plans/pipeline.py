@@ -13,6 +13,7 @@ from hybrispark.functions import thermo
 from hybrispark.functions.seqfn import probe_id
 from hybrispark.operators import annotation, appending
 from hybrispark.operators.alignment import align
+from hybrispark.operators.bases import MOST
 from hybrispark.operators.duplex import predict_discriminant, predict_trees
 from hybrispark.operators.kmers import add_max_kmer, build_kmer_index
 from hybrispark.operators.mining import MiningConfig, config, mine
@@ -59,7 +60,7 @@ def design_probes(
     discriminant predicts.
     """
     genome = sequences if genome is None else genome
-    probes = add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k), k)
+    probes = add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k, coded=k <= MOST), k)
     merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments, longest=cfg.max_length))
     if with_pdup:
         merged = merged.withColumn("pdup", thermo.duplex_probability("probe_seq"))

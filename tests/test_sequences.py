@@ -265,3 +265,24 @@ def test_pipeline(spark):
     full = base.align(df).merge().compute_pdup().compute_duplex_pred().score()
     assert full.scores.count() == n and base.merged is None
     assert full.append([("s", "ACG")], "same", "outer").master_table().columns == ["seqid", "outer"]
+
+
+@pytest.mark.parametrize("k, canonical", [(1, False), (5, True), (18, False), (31, True), (40, False), (41, True)])
+def test_words_as_numbers(spark, rows, k, canonical):
+    texts = [dna(300, 1), dna(200, 2).lower() + "N" + dna(100, 1), "AC", "", None, "é" + "ACGT" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id int, seq string")
+    turn = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    expected = {}
+    for t in texts:
+        t = (t or "").upper()
+        for w in (t[i : i + k] for i in range(len(t) - k + 1)):
+            if not set(w) - set("ACGT"):
+                w = min(w, turn(w)) if canonical else w
+                expected[w] = expected.get(w, 0) + 1
+    assert rows(kmers.build_kmer_index(df, k=k, canonical=canonical)) == sorted(expected.items())
+    probes = spark.createDataFrame([(t,) for t in [texts[0][:60], texts[1][190:230], "ACGT", None, "N" * 50]], "probe_seq string")
+    word = lambda t: max(expected.get(min(w, turn(w)) if canonical else w, 0) for w in (t[i : i + k].upper() for i in range(len(t) - k + 1)))
+    best = [(t, word(t) if len(t) >= k else None) for (t,) in probes.where("probe_seq IS NOT NULL").collect()]
+    for coded in {False, k <= 31}:
+        index = kmers.build_kmer_index(df, k=k, canonical=canonical, coded=coded)
+        assert rows(kmers.max_kmer(index, probes, k=k, canonical=canonical)) == sorted(best)

@@ -23,6 +23,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p1_long_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 31-base word, the longest that is sorted as a number."""
+    return term_frequency(read_table(spark, sf_dir, "test_probes"), "probe_id", "probe_seq", k=31)
+
+
+def p1_ambiguous_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 32-letter word of bases and the letter for any base."""
+    return term_frequency(read_table(spark, sf_dir, "test_probes"), "probe_id", "probe_seq", k=32, alphabet="ACGTN")
+
+
+def p1_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of Latin letters and digits of the documents."""
+    return term_frequency(read_table(spark, sf_dir, "documents"), "doc_id", "text", pattern="[a-z0-9]+")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_probes(read_table(spark, sf_dir, "test_probes"), read_table(spark, sf_dir, "scoring"), 5)
 
@@ -68,6 +83,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_terms": p1_terms,
     "p1_found": p1_found,
+    "p1_long_terms": p1_long_terms,
+    "p1_ambiguous_terms": p1_ambiguous_terms,
+    "p1_words": p1_words,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
@@ -79,27 +97,47 @@ QUERIES = {
     "p8_source_rates": p8_source_rates,
 }
 
-_P1_TERMS = """
+
+def _terms_sql(k: int, alphabet: str) -> str:
+    return f"""
     WITH r AS (
         SELECT probe_id, max(probe_seq) AS probe_seq FROM test_probes WHERE probe_id IS NOT NULL GROUP BY probe_id
     ), c AS (
-        SELECT probe_id, upper(regexp_replace(probe_seq, '[\\s\\v\\p{Z}\\x1c-\\x1f\\x{85}]', '', 'g')) AS s FROM r
+        SELECT probe_id, upper(regexp_replace(probe_seq, '[\\s\\v\\p{{Z}}\\x1c-\\x1f\\x{{85}}]', '', 'g')) AS s FROM r
     ), k AS (
-        SELECT probe_id, substr(s, i, 18) AS term
-        FROM (SELECT probe_id, s, unnest(range(1, length(s) - 16)) AS i FROM c WHERE length(s) >= 18)
+        SELECT probe_id, substr(s, i, {k}) AS term
+        FROM (SELECT probe_id, s, unnest(range(1, length(s) - {k - 2})) AS i FROM c WHERE length(s) >= {k})
     ), t AS (
         SELECT term, count(*) AS n_occurrences, count(DISTINCT probe_id) AS n_records
-        FROM k WHERE regexp_full_match(term, '[ACGT]{18}') GROUP BY term
+        FROM k WHERE regexp_full_match(term, '[{alphabet}]{{{{{k}}}}}') GROUP BY term
     )
     SELECT term, n_occurrences, n_records,
         CASE WHEN n_occurrences = 1 THEN 'rare'
              WHEN n_records >= greatest(10.0, 0.002 * (SELECT count(*) FROM r)) THEN 'common' END AS mark
     FROM t
-"""
+    """.replace("{{", "{").replace("}}", "}")
+
+
+_P1_TERMS = _terms_sql(18, "ACGT")
 
 SQL = {
     "p1_terms": _P1_TERMS,
     "p1_found": f"SELECT term, mark FROM ({_P1_TERMS}) WHERE mark IS NOT NULL",
+    "p1_long_terms": _terms_sql(31, "ACGT"),
+    "p1_ambiguous_terms": _terms_sql(32, "ACGTN"),
+    "p1_words": """
+        WITH r AS (
+            SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), k AS (
+            SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM r
+        ), t AS (
+            SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM k GROUP BY term
+        )
+        SELECT term, n_occurrences, n_records,
+            CASE WHEN n_occurrences = 1 THEN 'rare'
+                 WHEN n_records >= greatest(10.0, 0.002 * (SELECT count(*) FROM r)) THEN 'common' END AS mark
+        FROM t
+    """,
     "p3_found": """
         WITH p AS (
             SELECT seqid, seq_id, min("start") AS s, min("stop") AS e FROM test_probes

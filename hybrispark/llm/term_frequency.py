@@ -137,8 +137,11 @@ class _Run:
         return pa.RecordBatch.from_arrays(columns, names=["term", "record", "n", "records", "place"])
 
 
-def _bounds(texts: DataFrame, kind: Terms, parts: int, rows: int = 20_000, terms: int = 100_000) -> list:
-    """Terms that divide all of them into about equal parts, from a sample; they decide where a term is counted, not what."""
+def _bounds(texts: DataFrame, kind: Terms, parts: int, rows: int = 20_000) -> list:
+    """Terms that divide all of them into about equal parts; they decide where a term is counted, not what.
+
+    They come from up to five terms each of about ``rows`` texts.
+    """
     n = texts.count()
     if parts < 2 or not n:
         return []
@@ -149,11 +152,12 @@ def _bounds(texts: DataFrame, kind: Terms, parts: int, rows: int = 20_000, terms
             for text in batch.column(0).to_pylist():
                 part = next(kind.cuts(kind.prepare(text), 20_000), "")
                 got = kind.find([part])[0]
-                found.extend(got[:: max(1, len(got) // 50)])
+                some = got[:: max(1, -(-len(got) // 5))]
+                found.extend(some if kind.packed else (t[:64] for t in some))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64() if kind.packed else pa.string())], names=["term"])
 
     sampled = texts.sample(min(1.0, rows / n), 7).mapInArrow(some, f"term {'long' if kind.packed else 'string'}")
-    got = sorted(r[0] for r in sampled.limit(terms).collect())
+    got = sorted(r[0] for r in sampled.collect())
     return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
 
 

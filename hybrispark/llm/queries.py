@@ -10,7 +10,7 @@ from hybrispark.llm.splitting import split_items
 from hybrispark.llm.term_frequency import term_frequency
 from hybrispark.llm.token_ids import token_ids
 from hybrispark.llm.top_items import top_probes
-from hybrispark.llm.toxicity import passage_scores, source_rates, toxicity_scores
+from hybrispark.llm.toxicity import source_rates, toxicity_scores, worst_scores
 from hybrispark.session import read_table
 
 
@@ -76,7 +76,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    worst = passage_scores(read_table(spark, sf_dir, "documents")).where("score >= 0.5")
+    worst = worst_scores(read_table(spark, sf_dir, "documents")).where("score >= 0.5")
     return worst.where("doc_id IS NOT NULL").select("doc_id").distinct()
 
 

@@ -5,8 +5,9 @@ covers ``[i * 2**l, (i + 1) * 2**l)``).  Blocks covered by an ancestor are
 removed, sibling pairs are merged upward and adjacent blocks coalesced.  This
 is done over runs of rows before anything is shuffled, so that an entity with
 any number of rows sends only the stretches they cover; then again by entity
-and tile of positions, which divides a hot entity over many tasks; a window
-over the few stretches left joins those of different tiles.
+and tile of positions, which divides a hot entity over many tasks.  How far each
+tile's stretches reach, a row a tile, tells where those of later tiles go on
+from them.
 """
 
 from __future__ import annotations
@@ -87,10 +88,10 @@ def merge_blocks(group: np.ndarray, level: np.ndarray, index: np.ndarray) -> tup
     return group[heads], start[heads], end[tails]
 
 
-def _entities(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for the entity of each row, and one row of each entity."""
+def _entities(table: pa.Table, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the entity of each row, told by some columns, and one row of each entity."""
     code = np.zeros(table.num_rows, np.int64)
-    for i in range(width):
+    for i in columns:
         part = table.column(i).combine_chunks().dictionary_encode()
         code = code * (len(part.dictionary) + 1) + part.indices.to_numpy(zero_copy_only=False)
         _, code = np.unique(code, return_inverse=True)
@@ -128,15 +129,16 @@ def cover_and_gaps(
         rows = rows.where(F.col(n).isNotNull())
     schema = T.StructType(
         [
-            *[T.StructField(n, df.schema[k].dataType) for k, n in zip(keys, names)],
-            T.StructField("__s", T.LongType()),
-            T.StructField("__e", T.LongType()),
+            # Nulls are gone, and a join by these columns needn't look for them.
+            *[T.StructField(n, df.schema[k].dataType, False) for k, n in zip(keys, names)],
+            T.StructField("__s", T.LongType(), False),
+            T.StructField("__e", T.LongType(), False),
         ]
     )
 
     def merged(run: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(run)
-        entity, first = _entities(table, width)
+        entity, first = _entities(table, range(width))
         lo, hi = (table.column(width + i).to_numpy() for i in (0, 1))
         g, s, e = merge_blocks(*dyadic_blocks(entity, lo, hi))
         at = pa.array(first[g])
@@ -156,30 +158,98 @@ def cover_and_gaps(
         if run:
             yield merged(run)
 
-    tile = F.shiftright("__s", tile_bits)
-    segments = rows.mapInArrow(merge_runs, schema).repartition(*names, tile).mapInArrow(merge_runs, schema)
-    # Stretches of different tiles or runs may touch or overlap still.
-    entity = Window.partitionBy(*names).orderBy("__s", "__e")
-    before = entity.rowsBetween(Window.unboundedPreceding, -1)
-    islands = (
-        segments.withColumn("__reach", F.max("__e").over(before))
-        .withColumn("__new", F.expr("IF(__reach IS NULL OR __s > __reach, 1, 0)"))
-        .withColumn("__island", F.sum("__new").over(entity.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    spans = islands.groupBy(*names, "__island").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e"))
-    following = Window.partitionBy(*names).orderBy("__s")
-    rows_out = spans.withColumn("__next", F.lead("__s").over(following)).select(
+    tiled = rows.mapInArrow(merge_runs, schema).withColumn("__t", F.shiftright("__s", tile_bits))
+    tiles = tiled.repartition(*names, "__t").sortWithinPartitions(*names, "__t")
+
+    def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of about ``rows_per_run``, no tile of an entity divided."""
+        run: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run.append(batch)
+            held += batch.num_rows
+            if held < rows_per_run:
+                continue
+            table = pa.Table.from_batches(run)
+            code, _ = _entities(table, [*range(width), width + 2])
+            cut = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
+            if cut:
+                yield table.slice(0, cut)
+            run = table.slice(cut).to_batches()
+            held = table.num_rows - cut
+        if run:
+            yield pa.Table.from_batches(run)
+
+    def covered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The stretches of each entity and tile in order, and one row of each."""
+        group, first = _entities(table, [*range(width), width + 2])
+        lo, hi = (table.column(width + i).to_numpy() for i in (0, 1))
+        g, s, e = merge_blocks(*dyadic_blocks(group, lo, hi))
+        return g, s, e, first
+
+    def keys_of(table: pa.Table, at: np.ndarray) -> list[pa.Array]:
+        return [table.column(i).combine_chunks().take(pa.array(at)) for i in range(width)]
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches):
+            g, _, e, first = covered(table)
+            last = np.append(g[1:] != g[:-1], True)
+            at = first[g[last]]
+            columns = [*keys_of(table, at), table.column(width + 2).combine_chunks().take(pa.array(at)), pa.array(e[last])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__t", "__end"])
+
+    keyed = [T.StructField(n, df.schema[k].dataType, False) for k, n in zip(keys, names)]
+    place = T.StructField("__t", T.LongType(), False)
+    ends = tiles.mapInArrow(reaches, T.StructType([*keyed, place, T.StructField("__end", T.LongType(), False)]))
+    # A row a tile; an entity has at most 2 ** (LEVELS - tile_bits) of them.
+    entity = Window.partitionBy(*names).orderBy("__t")
+    reached = ends.select(
         *names,
-        F.explode(
-            F.expr(
-                "IF(__next IS NULL, array(struct('span' AS kind, __s AS s, __e AS e)),"
-                " array(struct('span' AS kind, __s AS s, __e AS e), struct('gap' AS kind, __e AS s, __next AS e)))"
-            )
-        ).alias("__r"),
+        "__t",
+        F.coalesce(F.max("__end").over(entity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("__reach"),
+        F.lead("__t").over(entity).isNull().alias("__last"),
+    )
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches):
+            g, s, e, first = covered(table)
+            reach = table.column(width + 3).to_numpy()[first][g]
+            final = table.column(width + 4).to_numpy(zero_copy_only=False)[first][g]
+            head = np.append(True, g[1:] != g[:-1])
+            tail = np.append(g[1:] != g[:-1], True)
+            # Stretches that begin within the reach of earlier tiles go on from them.
+            fresh = s > reach
+            before = np.where(head, reach, np.maximum(reach, np.append(-1, e[:-1])))
+            gap = fresh & (before >= 0)
+            # A stretch ends in its tile if the next begins there, too.
+            inner = fresh & ~tail
+            opens = fresh & tail
+            closes = gap & (head | ~np.append(False, fresh[:-1]))
+            ending = tail & final
+            parts = [
+                (first[g[inner]], "span", s[inner], e[inner]),
+                (first[g[gap]], "gap", before[gap], s[gap]),
+                (first[g[opens]], "open", s[opens], s[opens]),
+                (first[g[closes]], "close", before[closes], before[closes]),
+                (first[g[ending]], "close", np.maximum(reach, e)[ending], np.maximum(reach, e)[ending]),
+            ]
+            at, kind = np.concatenate([p[0] for p in parts]), [p[1] for p in parts for _ in range(len(p[0]))]
+            columns = [*keys_of(table, at), pa.array(kind, pa.string()), *(pa.array(np.concatenate([p[c] for p in parts])) for c in (2, 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "kind", "__s", "__e"])
+
+    joined = tiles.join(reached, [*names, "__t"]).select(*names, "__s", "__e", "__t", "__reach", "__last")
+    found = joined.sortWithinPartitions(*names, "__t").mapInArrow(
+        stretches, T.StructType([*schema.fields[:width], T.StructField("kind", T.StringType()), T.StructField("__s", T.LongType()), T.StructField("__e", T.LongType())])
     )
+    # Stretches that end in another tile: an end follows each beginning, at most two rows a tile.
+    order = Window.partitionBy(*names).orderBy("__s", F.col("kind"))
+    edges = found.where("kind IN ('open', 'close')").withColumn("__e", F.lead("__s").over(order)).where("kind = 'open'")
+    rows_out = found.where("kind IN ('span', 'gap')").unionByName(edges.withColumn("kind", F.lit("span")))
     return rows_out.select(
         *[F.col(n).alias(k) for k, n in zip(keys, names)],
-        F.col("__r.kind").alias("kind"),
-        (F.col("__r.s") - _OFFSET).cast("int").alias("seg_start"),
-        (F.col("__r.e") - (_OFFSET + 1)).cast("int").alias("seg_end"),
+        "kind",
+        (F.col("__s") - _OFFSET).cast("int").alias("seg_start"),
+        (F.col("__e") - (_OFFSET + 1)).cast("int").alias("seg_end"),
     )

@@ -58,3 +58,16 @@ def test_edges(spark, rows):
     df = spark.createDataFrame(data, "g string, s int, e int")
     assert rows(cover_and_gaps(df, ["g"], "s", "e")) == [("a", "span", 1, 3), ("b", "span", -(2**31), 2**31 - 1), ("c", "span", 5, 5)]
     assert rows(cover_and_gaps(df.limit(0), ["g"], "s", "e")) == []
+
+
+def test_hot_entity_over_many_tiles(spark, rows):
+    """Stretches that begin, end and go on in other tiles, in every order of runs."""
+    rng = random.Random(11)
+    for seed in range(4):
+        data = [("hot", a, a + n) for a, n in ((rng.randrange(20_000), rng.choice([0, 1, 3, 15, 16, 17, 40, 500])) for _ in range(400))]
+        data += [("one", 100, 9_000), ("two", 16, 31), ("two", 32, 47), ("two", 49, 63)]
+        df = spark.createDataFrame(data, "g string, s int, e int").repartition(3 + seed)
+        by = {}
+        for g, a, b in data:
+            by.setdefault(g, []).append((a, b))
+        assert rows(cover_and_gaps(df, ["g"], "s", "e", 4, 13)) == sorted((g, *r) for g in by for r in brute(by[g]))

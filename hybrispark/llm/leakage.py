@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -21,10 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _K1, _B = 1.2, 0.75
 _SURE = 1 - 1e-9
@@ -77,9 +80,13 @@ class ItemIndex:
         return int(self.block_of.max(initial=0)) + 1
 
 
-def build_index(items: list[tuple[object, str | None]], n: int, block_size: int = 32) -> ItemIndex:
-    """Index the items of at least ``n`` words."""
-    kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= n]
+def build_index(items: list[tuple[object, str | None]], n: int, block_size: int = 32, segment: int = 2_000) -> ItemIndex:
+    """Index the items of at least ``n`` words, long ones in segments that share ``n - 1`` words."""
+    kept = []
+    for i, text in items:
+        found = words_of(text)
+        if len(found) >= n:
+            kept += [(i, found[a : a + segment + n - 1]) for a in range(0, max(len(found) - n + 1, 1), segment)]
     terms: dict[str, int] = {}
     coded = [np.array([terms.setdefault(w, len(terms)) for w in ws], np.int32) for _, ws in kept]
     count = len(kept)
@@ -147,9 +154,26 @@ def retrieve(index: ItemIndex, code: np.ndarray, starts: np.ndarray, ends: np.nd
         known = code[place] >= 0
         pair = np.unique(owner[known] * len(index.terms) + code[place][known])
         passage, term = pair // len(index.terms), pair % len(index.terms)
+        # The pivot: a passage's terms of least impact that together can't reach
+        # the threshold make no candidate, so their blocks are opened only where
+        # a term from the pivot on has one.
+        order = np.lexsort((index.highest[term], passage))
+        passage, term = passage[order], term[order]
+        highest = index.highest[term]
+        head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        total = np.cumsum(highest)
+        before = np.repeat(total[head] - highest[head], np.diff(np.append(head, len(term))))
+        pivot = total - before >= _SURE
         first = index.term_block[term]
+        entry, block = _spread(first[pivot], (index.term_block[term + 1] - first)[pivot])
+        candidates = np.unique(passage[pivot][entry] * index.n_blocks + index.block_of[block])
+        if not len(candidates):
+            continue
         entry, block = _spread(first, index.term_block[term + 1] - first)
         key = passage[entry] * index.n_blocks + index.block_of[block]
+        near = np.minimum(np.searchsorted(candidates, key), len(candidates) - 1)
+        left = candidates[near] == key
+        entry, block, key = entry[left], block[left], key[left]
         keys, bound = _sums(key, index.block_max[block])
         keys = keys[bound >= _SURE]
         if not len(keys):
@@ -195,24 +219,36 @@ def leaked_items(
     wanted = items.select(items[item_id].alias("__i"), items[item_text].alias("__t")).where("__t IS NOT NULL")
     total = wanted.agg(F.sum(F.length("__t").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // index_chars))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        index = build_index(list(zip(frame["__i"].tolist(), frame["__t"].tolist())), n)
+        return pd.DataFrame({"index": [pickle.dumps(index)]})
+
+    # Indexes are made by the executors, a block of items each; they pass the driver one after another.
+    block = F.pmod(F.xxhash64("__i", "__t"), F.lit(blocks))
+    numbered = wanted.withColumn("__b", block)
+    if isinstance(items.schema[item_id].dataType, (T.LongType, T.IntegerType)):
+        numbered = numbered.withColumn("__i", F.coalesce(F.col("__i").cast("string"), F.lit("")))
+    built = numbered.groupBy("__b").applyInPandas(build, "index binary")
     schema = T.StructType(
         [
             T.StructField(doc_id, docs.schema[doc_id].dataType),
             T.StructField(item_id if item_id != doc_id else f"item_{item_id}", items.schema[item_id].dataType),
         ]
     )
-    item_type = pa.int64() if isinstance(schema[1].dataType, T.LongType) else None
+    item_type = to_arrow_type(schema[1].dataType)
+    whole = isinstance(schema[1].dataType, (T.LongType, T.IntegerType))
     texts = docs.select(docs[doc_id], docs[doc_text]).where(docs[doc_text].isNotNull())
+    item_of = (lambda x: int(x) if x else None) if whole else (lambda x: x)
     step = passage_words - n + 1
     if step < 1:
         raise ValueError("passages must be longer than n words")
     result = None
-    for b in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("__i", "__t"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.toLocalIterator()], n))
+    for row in built.toLocalIterator():
+        shared = spark.sparkContext.broadcast(bytes(row["index"]))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index: ItemIndex = shared.value
+            index: ItemIndex = pickle.loads(shared.value)
             if not index.item_ids:
                 return
             get = index.terms.get
@@ -252,10 +288,10 @@ def leaked_items(
             if pairs:
                 at, which = zip(*sorted(pairs))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array([index.item_ids[x] for x in which], item_type)],
+                    [batch.column(0).take(pa.array(at)), pa.array([item_of(index.item_ids[x]) for x in which], item_type)],
                     names=schema.fieldNames(),
                 )
 
         found = texts.mapInArrow(search, schema)
         result = found if result is None else result.unionByName(found)
-    return result.distinct()
+    return spark.createDataFrame([], schema) if result is None else result.distinct()

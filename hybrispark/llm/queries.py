@@ -120,6 +120,66 @@ def _terms_sql(k: int, alphabet: str) -> str:
 
 _P1_TERMS = _terms_sql(18, "ACGT")
 
+_PIECES = """
+        WITH RECURSIVE x AS (
+            SELECT DISTINCT mine_id, regexp_replace(seq, '[\\s\\v\\p{Z}\\x1c-\\x1f\\x{85}]', '', 'g') AS s,
+                coalesce(chunk_size, 100000) AS lim, max_length - 1 AS ov
+            FROM mine_probes
+        ), y AS (
+            SELECT * FROM x WHERE length(s) > 0 AND lim > ov
+        ), runs AS (
+            SELECT mine_id, unnest(regexp_extract_all(s, '[Nn]{10,}|[^Nn]+|[Nn]+')) AS part,
+                generate_subscripts(regexp_extract_all(s, '[Nn]{10,}|[^Nn]+|[Nn]+'), 1) AS i
+            FROM y
+        ), ends AS (
+            SELECT mine_id, part, sum(length(part)) OVER (PARTITION BY mine_id ORDER BY i) AS b FROM runs
+        ), bounds AS (
+            SELECT y.mine_id, list(b ORDER BY b) AS bs FROM ends JOIN y USING (mine_id)
+            WHERE regexp_full_match(part, '[Nn]{10,}') AND b < length(s) GROUP BY y.mine_id
+        ), z AS (
+            SELECT y.mine_id, length(s) AS n, lim, ov, coalesce(bs, []) AS bs FROM y LEFT JOIN bounds USING (mine_id)
+        ), w AS (
+            SELECT mine_id, n, lim, ov, bs, 1 AS k, 0::BIGINT AS p,
+                CASE WHEN n <= lim THEN n ELSE coalesce(list_max(list_filter(bs, lambda b: b > ov AND b <= lim)), lim) END::BIGINT AS e
+            FROM z
+            UNION ALL
+            SELECT mine_id, n, lim, ov, bs, k + 1, e - ov,
+                CASE WHEN n - (e - ov) <= lim THEN n
+                     ELSE coalesce(list_max(list_filter(bs, lambda b: b > e - ov + ov AND b <= e - ov + lim)), e - ov + lim) END::BIGINT
+            FROM w WHERE e < n
+        )
+"""
+
+
+def _words_sql(text: str) -> str:
+    """The words of a text in one form: without markup, invisible characters, breaks within words, full width and case."""
+    wide = "".join(chr(c) for c in range(0xFF10, 0xFF5B))
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B))
+    out = f"regexp_replace({text}, '</?[A-Za-z][^<>]*>', ' ', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    out = f"regexp_replace({out}, '[\\x{{034F}}\\x{{061C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    blank = "[ \\t\\f\\v\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]"
+    out = f"regexp_replace({out}, '([\\p{{L}}\\p{{N}}_])[-\\x{{AD}}\\x{{2010}}\\x{{2011}}]{blank}*(?:\\r\\n|[\\r\\n\\x{{85}}\\x{{2028}}\\x{{2029}}])(?:{blank}|[>|])*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    out = f"replace({out}, chr(173), '')"
+    for form, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss")):
+        out = f"replace({out}, '{form}', '{letters}')"
+    return f"regexp_extract_all(lower(nfc_normalize(translate({out}, '{wide}', '{plain}'))), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_LEAKS = f"""
+    WITH dw AS (
+        SELECT DISTINCT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL
+    ), iw AS (
+        SELECT item_id, {_words_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL
+    ), dg AS (
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw WHERE len(w) >= 12
+    ), ig AS (
+        SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw WHERE len(w) >= 12
+    ), lk AS (
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    )"""
+
 SQL = {
     "p1_terms": _P1_TERMS,
     "p1_found": f"SELECT term, mark FROM ({_P1_TERMS}) WHERE mark IS NOT NULL",
@@ -152,34 +212,9 @@ SQL = {
         )
         SELECT seq_id, rnk, seqid FROM r WHERE rnk <= 5
     """,
-    "p5_found": """
-        WITH RECURSIVE x AS (
-            SELECT DISTINCT mine_id, regexp_replace(seq, '[\\s\\v\\p{Z}\\x1c-\\x1f\\x{85}]', '', 'g') AS s,
-                coalesce(chunk_size, 100000) AS lim, max_length - 1 AS ov
-            FROM mine_probes
-        ), y AS (
-            SELECT * FROM x WHERE length(s) > 0 AND lim > ov
-        ), runs AS (
-            SELECT mine_id, unnest(regexp_extract_all(s, '[Nn]{10,}|[^Nn]+|[Nn]+')) AS part,
-                generate_subscripts(regexp_extract_all(s, '[Nn]{10,}|[^Nn]+|[Nn]+'), 1) AS i
-            FROM y
-        ), ends AS (
-            SELECT mine_id, part, sum(length(part)) OVER (PARTITION BY mine_id ORDER BY i) AS b FROM runs
-        ), bounds AS (
-            SELECT y.mine_id, list(b ORDER BY b) AS bs FROM ends JOIN y USING (mine_id)
-            WHERE regexp_full_match(part, '[Nn]{10,}') AND b < length(s) GROUP BY y.mine_id
-        ), z AS (
-            SELECT y.mine_id, length(s) AS n, lim, ov, coalesce(bs, []) AS bs FROM y LEFT JOIN bounds USING (mine_id)
-        ), w AS (
-            SELECT mine_id, n, lim, ov, bs, 1 AS k, 0::BIGINT AS p,
-                CASE WHEN n <= lim THEN n ELSE coalesce(list_max(list_filter(bs, lambda b: b > ov AND b <= lim)), lim) END::BIGINT AS e
-            FROM z
-            UNION ALL
-            SELECT mine_id, n, lim, ov, bs, k + 1, e - ov,
-                CASE WHEN n - (e - ov) <= lim THEN n
-                     ELSE coalesce(list_max(list_filter(bs, lambda b: b > e - ov + ov AND b <= e - ov + lim)), e - ov + lim) END::BIGINT
-            FROM w WHERE e < n
-        )
-        SELECT mine_id, k AS piece_no, CAST(p AS INT) AS piece_start, CAST(e AS INT) AS piece_end FROM w
-    """,
+    "p5_found": f"{_PIECES} SELECT mine_id, k AS piece_no, CAST(p AS INT) AS piece_start, CAST(e AS INT) AS piece_end FROM w",
+    "p5_pieces": f"""{_PIECES} SELECT w.mine_id, k AS piece_no, CAST(p AS INT) AS piece_start, CAST(e AS INT) AS piece_end, substr(s, p + 1, e - p) AS piece
+        FROM w JOIN y USING (mine_id)""",
+    "p7_found": _LEAKS + " SELECT DISTINCT doc_id, item_id FROM lk",
+    "p7_items": _LEAKS + """ SELECT b.item_id, count(DISTINCT lk.doc_id) AS n_documents FROM benchmark b LEFT JOIN lk ON b.item_id = lk.item_id GROUP BY b.item_id""",
 }

@@ -32,22 +32,18 @@ def piece_bounds(n: int, boundaries: list[int], limit: int, overlap: int) -> lis
     return out
 
 
-def natural_boundaries(text: str, run: str, at_least: int) -> tuple[int, list[int], np.ndarray]:
-    """Tokens of a text, the sorted ends of its boundary runs, and where each token is in the text.
+def natural_boundaries(text: str, run: str, at_least: int) -> tuple[str, list[int]]:
+    """A text without white space, and the sorted places right after its boundary runs.
 
-    Tokens are the characters that aren't white space.  The offsets of the
-    tokens are the prefix sums of the lengths between white space.  A boundary
-    is the position right after a longest run of at least ``at_least`` letters
-    of ``run``, unless it is the end of the text.
+    A boundary run is a longest run of at least ``at_least`` letters of
+    ``run``.  Tokens are these runs and what lies between them; the prefix sums
+    of their lengths are the offsets, of which those after a run count, but not
+    the end of the text.
     """
-    parts = _space.split(text)
-    s = "".join(parts)
-    n = len(s)
-    ends = [m.end() for m in re.finditer(f"[{re.escape(run)}]{{{at_least},}}", s) if m.end() < n]
-    sizes = np.array([len(x) for x in parts], np.int64)
-    gaps = np.array([0, *(len(m.group()) for m in _space.finditer(text))], np.int64)
-    offset = np.cumsum(gaps)
-    return n, ends, np.repeat(offset, sizes) + np.arange(n)
+    s = _space.sub("", text)
+    tokens = re.split(f"([{re.escape(run)}]{{{at_least},}})", s)
+    offsets = np.cumsum([len(t) for t in tokens])
+    return s, [int(x) for x in offsets[1::2] if x < len(s)]
 
 
 def split_items(
@@ -68,9 +64,9 @@ def split_items(
     text, a null overlap or a limit not greater than the overlap (zero and
     negative ones too) give nothing.  ``with_text`` adds the piece itself.
 
-    Rows are split where they are read and only the pieces' bounds are
-    shuffled, to count repeated deliveries once; a null id is an id of its
-    own.  An empty table gives an empty result.
+    Repeated deliveries count once; deliveries of an id that differ each give
+    their pieces, equal ones of which are one without texts.  A null id is an
+    id of its own.  An empty table gives an empty result.
     """
     id_type = df.schema[id_col].dataType
     fields = [
@@ -90,10 +86,10 @@ def split_items(
                 limit = default_limit if limit is None else limit
                 if not text or width is None or limit <= width - 1:
                     continue
-                n, ends, where = natural_boundaries(text, run, at_least)
-                if not n:
+                whole, ends = natural_boundaries(text, run, at_least)
+                if not whole:
                     continue
-                pieces = piece_bounds(n, ends, limit, max(width - 1, 0))
+                pieces = piece_bounds(len(whole), ends, limit, max(width - 1, 0))
                 starts, stops = zip(*pieces)
                 columns = [
                     batch.column(0).take(pa.array([i] * len(pieces))),
@@ -102,9 +98,9 @@ def split_items(
                     pa.array(stops, pa.int32()),
                 ]
                 if with_text:
-                    texts = [_space.sub("", text[where[a] : where[b - 1] + 1]) for a, b in pieces]
-                    columns.append(pa.array(texts, pa.string()))
+                    columns.append(pa.array([whole[a:b] for a, b in pieces], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    rows = df.select(df[id_col], df[text_col], df[limit_col].cast("long"), df[overlap_col].cast("long"))
-    return rows.where(F.length(df[text_col]) > 0).mapInArrow(split, schema).distinct()
+    rows = df.select(df[id_col], df[text_col], df[limit_col].cast("long"), df[overlap_col].cast("long")).where(F.length(df[text_col]) > 0)
+    # Bounds are shuffled to count repeated deliveries once; with texts the texts are, which are shorter than their pieces.
+    return rows.distinct().mapInArrow(split, schema) if with_text else rows.mapInArrow(split, schema).distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import os
+import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hybrispark.llm import lexicon
@@ -145,13 +146,18 @@ def _encoder(vocabulary: str, automaton: str) -> Encoder:
     return Encoder(vocabulary, automaton)
 
 
-def compile_lexicon(df: DataFrame, text_col: str, vocabulary: str, sample_rows: int, words: int) -> bytes:
-    """The automaton as a file: all whole words of the vocabulary and the most frequent words of some texts."""
+def compile_lexicon(df: DataFrame, text_col: str, vocabulary: str, sample_rows: int, words: int, sample_chars: int = 8_000_000) -> bytes:
+    """The automaton as a file: all whole words of the vocabulary and the most frequent words of some texts.
+
+    The texts come to the driver: ``sample_rows`` at most, none longer than
+    their share of ``sample_chars``.
+    """
     tokenizer, ranks = _tokenizer(vocabulary)
     merge = tokenizer._encode_single_piece
     entries = {piece: merge(piece) for piece in ranks}
     counts: Counter[bytes] = Counter()
-    texts = [r[0] for r in df.select(text_col).where(df[text_col].isNotNull()).limit(sample_rows).toLocalIterator()]
+    short = df.select(text_col).where(F.length(df[text_col]) <= sample_chars // sample_rows)
+    texts = [r[0] for r in short.limit(sample_rows).toLocalIterator()]
     for part, _ in text_slices(texts, 1_000_000):
         joined = "\n".join(part)
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -165,16 +171,26 @@ def compile_lexicon(df: DataFrame, text_col: str, vocabulary: str, sample_rows:
     return lexicon.dump(lexicon.build(entries))
 
 
-def _publish(spark: SparkSession, name: str, content: bytes) -> None:
-    """Put a file into the shared folder and let every machine fetch a copy of its own."""
+def _publish(spark: SparkSession, content: bytes) -> str:
+    """Put a file into the shared folder and let every machine fetch a copy of its own; its name.
+
+    The name tells the content, so that equal ones are written and fetched
+    once.  The file is deleted when the session's machine ends.
+    """
     sc = spark.sparkContext
+    name = f"lexicon-{hashlib.sha256(content).hexdigest()[:24]}.bin"
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
-    sc.addFile(path.toString())
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        fs.deleteOnExit(path)
+    if not any(str(f).rsplit("/", 1)[-1] == name for f in sc.listFiles):
+        sc.addFile(path.toString())
+    return name
 
 
 def text_slices(texts: list[str | None], most: int) -> Iterator[tuple[list[str], list[int]]]:
@@ -229,8 +245,7 @@ def token_ids(
     schema = T.StructType(
         [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     )
-    name = f"lexicon-{os.urandom(8).hex()}.bin"
-    _publish(spark, name, compile_lexicon(df, text_col, vocabulary, lexicon_rows, lexicon_words))
+    name = _publish(spark, compile_lexicon(df, text_col, vocabulary, lexicon_rows, lexicon_words))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, SparkFiles.get(name))

@@ -159,7 +159,7 @@ def spliced_sequences(exons: DataFrame, genome: DataFrame, by: str = "transcript
     return parts.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("sequence"))
 
 
-def flatten_isoforms(exons: DataFrame, ordinal: str, score: str = "score") -> DataFrame:
+def flatten_isoforms(exons: DataFrame, ordinal: str, score: str = "score", tile_bits: int = 16, salts: int = 32) -> DataFrame:
     """The stretches of every gene that the most exon records cover.
 
     Columns seqid, start, end, gene_id, score, strand, coverage.  Where no
@@ -168,36 +168,53 @@ def flatten_isoforms(exons: DataFrame, ordinal: str, score: str = "score") -> Da
     has the strand of the n-th exon.  Exons without bounds, empty ones
     (start not before end) and null genes are left out.
 
-    Coverage is a running sum over the exons' ends, added up by position before
-    the window, so a gene's window holds its distinct positions only.
+    Coverage is a running sum over the exons' ends, added up by position first.
+    It runs within tiles of positions from what earlier tiles add up to, so a
+    gene of any size is divided; exons are numbered only in genes of both
+    strands, and there only those that may be among the first ones.
     """
     rows = exons.where("gene_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND start < end")
     rows = rows.select("gene_id", "seqid", "start", "end", "strand", F.col(score).alias("score"), F.col(ordinal).alias("__ord"))
     first = rows.groupBy("gene_id").agg(
-        F.min(F.struct("__ord", "seqid", "score", "strand")).alias("__first")
+        F.min(F.struct("__ord", "seqid", "score", "strand")).alias("__first"),
+        (F.min(F.coalesce("strand", F.lit(""))) != F.max(F.coalesce("strand", F.lit("")))).alias("__mixed"),
     )
-    steps = rows.select("gene_id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
+    steps = rows.select("gene_id", F.explode(ends).alias("x"))
     steps = steps.groupBy("gene_id", F.col("x.at").alias("at")).agg(F.sum("x.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("gene_id").orderBy("at")
-    gene = Window.partitionBy("gene_id")
-    levels = (
-        steps.withColumn("cov", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("next", F.lead("at").over(w))
-        .withColumn("top", F.max("cov").over(gene))
+    steps = steps.withColumn("__t", F.shiftright("at", tile_bits))
+    # A row a tile: what comes before it, and where the next one begins.
+    gene = Window.partitionBy("gene_id").orderBy("__t")
+    tiles = steps.groupBy("gene_id", "__t").agg(F.sum("d").alias("__d"), F.min("at").alias("__at")).select(
+        "gene_id",
+        "__t",
+        F.coalesce(F.sum("__d").over(gene.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
+        F.lead("__at").over(gene).alias("__after"),
     )
-    top = levels.where("cov = top AND next IS NOT NULL").select("gene_id", F.col("at").alias("start"), F.col("next").alias("end"), F.col("top").cast("int").alias("coverage"))
+    w = Window.partitionBy("gene_id", "__t").orderBy("at")
+    levels = steps.join(tiles, ["gene_id", "__t"]).select(
+        "gene_id",
+        "at",
+        (F.col("__base") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("cov"),
+        F.coalesce(F.lead("at").over(w), F.col("__after")).alias("next"),
+    )
+    most = levels.groupBy("gene_id").agg(F.max("cov").alias("top"))
+    top = levels.join(most.where("top > 1"), "gene_id").where("cov = top AND next IS NOT NULL")
+    top = top.select("gene_id", F.col("at").alias("start"), F.col("next").alias("end"), F.col("top").cast("int").alias("coverage"))
     # Steps of no change are gone, so stretches at the top never touch.
-    numbered = top.withColumn("__n", F.row_number().over(Window.partitionBy("gene_id").orderBy("start")))
-    nth = rows.withColumn("__n", F.row_number().over(Window.partitionBy("gene_id").orderBy("__ord"))).select("gene_id", "__n", F.col("strand").alias("__strand"))
-    shared = (
-        numbered.where("coverage > 1")
-        .join(nth, ["gene_id", "__n"], "left")
-        .join(first, "gene_id")
-        .select("__first.seqid", "start", "end", "gene_id", "__first.score", F.coalesce("__strand", "__first.strand").alias("strand"), "coverage")
+    numbered = top.join(first, "gene_id").withColumn("__n", F.row_number().over(Window.partitionBy("gene_id").orderBy("start")))
+    # The n-th exon of a gene is among the first n of its share.
+    needed = numbered.where("__mixed").groupBy("gene_id").agg(F.max("__n").alias("__most"))
+    share = Window.partitionBy("gene_id", "__share").orderBy("__ord")
+    some = rows.join(needed, "gene_id").withColumn("__share", F.pmod(F.xxhash64("__ord"), F.lit(salts)))
+    some = some.withColumn("__r", F.row_number().over(share)).where("__r <= __most")
+    nth = some.withColumn("__n", F.row_number().over(Window.partitionBy("gene_id").orderBy("__ord"))).where("__n <= __most")
+    nth = nth.select("gene_id", "__n", F.col("strand").alias("__strand"))
+    shared = numbered.join(nth, ["gene_id", "__n"], "left").select(
+        "__first.seqid", "start", "end", "gene_id", "__first.score", F.coalesce("__strand", "__first.strand").alias("strand"), "coverage"
     )
-    single = levels.groupBy("gene_id").agg(F.max("top").alias("top")).where("top = 1").select("gene_id")
     alone = (
-        rows.join(single, "gene_id")
+        rows.join(most.where("top = 1").select("gene_id"), "gene_id")
         .join(first, "gene_id")
         .select("__first.seqid", "start", "end", "gene_id", "__first.score", "strand", F.lit(1).alias("coverage"))
     )

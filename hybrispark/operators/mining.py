@@ -72,11 +72,11 @@ def config(**settings) -> MiningConfig:
     return MiningConfig(**settings, conditions=Conditions(**salts))
 
 
-def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int, before: int = 0) -> DataFrame:
+def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int, before: int = 0, keep_case: bool = False) -> DataFrame:
     """(seq_id, offset, total, piece): pieces of ``size`` letters, each with ``halo`` more of what follows.
 
     A piece begins at ``offset``, or up to ``before`` letters ahead of it where
-    there are as many.  Pieces are in upper case; letters beyond ASCII, which are no bases, come
+    there are as many.  Pieces are in upper case unless ``keep_case``; letters beyond ASCII, which are no bases, come
     out as N.  Cutting bytes takes time in proportion to the sequence, however
     many pieces it gives.  Null and empty sequences give nothing.
     """
@@ -87,7 +87,8 @@ def chunks(df: DataFrame, id_col: str, seq_col: str, size: int, halo: int, befor
     piece = lambda o: F.substr("s", o + 1 - ahead(o), ahead(o) + (size + halo))
     pieces = F.transform(starts, lambda o: F.struct(o.alias("offset"), piece(o).alias("piece")))
     cut = rows.select("seq_id", F.octet_length("s").alias("total"), F.explode(pieces).alias("x"))
-    return cut.select("seq_id", "x.offset", "total", F.upper(F.col("x.piece").cast("string")).alias("piece"))
+    text = F.col("x.piece").cast("string")
+    return cut.select("seq_id", "x.offset", "total", (text if keep_case else F.upper(text)).alias("piece"))
 
 
 _CODE = np.full(256, 4, np.uint8)
@@ -182,9 +183,13 @@ def mine(df: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", cfg: Minin
     nothing; rows with a null id are mined like others; equal rows each give
     their probes.  With ``overlap=False`` or ``spacing`` ids must be unique.
     """
-    pieces = chunks(df, id_col, seq_col, cfg.chunk_size, cfg.max_length - 1)
+    return mine_pieces(chunks(df, id_col, seq_col, cfg.chunk_size, cfg.max_length - 1), cfg)
+
+
+def mine_pieces(pieces: DataFrame, cfg: MiningConfig = MiningConfig()) -> DataFrame:
+    """As mine(), of sequences that are cut already as chunks() cuts them, by ``chunk_size`` with a halo of ``max_length - 1``."""
     schema = T._parse_datatype_string(PROBE_SCHEMA)
-    schema = T.StructType([T.StructField("seq_id", df.schema[id_col].dataType), *schema.fields[1:]])
+    schema = T.StructType([T.StructField("seq_id", pieces.schema["seq_id"].dataType), *schema.fields[1:]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

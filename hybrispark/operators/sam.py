@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybrispark.functions.seqfn import slice_strand
+from hybrispark.functions.seqfn import rev_comp
 from hybrispark.operators.mining import chunks
 
 
@@ -80,6 +80,7 @@ def fetch_sequences(
     strand: str = "align_strand",
     out: str = "derived_seq",
     block: int = 65_536,
+    keep_case: bool = False,
 ) -> DataFrame:
     """The intervals with their bases in upper case, reverse complemented on the minus strand.
 
@@ -88,9 +89,10 @@ def fetch_sequences(
     and a long sequence is spread over many tasks; an interval's parts are put
     together again in order.  Equal rows come out once.  Intervals on unknown
     sequences or wholly beyond the end are left out, parts beyond the ends are
-    cut off; an empty interval gives an empty text.
+    cut off; an empty interval gives an empty text.  ``keep_case`` leaves the
+    case of the letters.
     """
-    blocks = chunks(genome, "seq_id", "seq", block, 0).select(
+    blocks = chunks(genome, "seq_id", "seq", block, 0, keep_case=keep_case).select(
         F.col("seq_id").alias("__id"), (F.col("offset") / block).cast("int").alias("__b"), F.col("total").alias("__n"), F.col("piece").alias("__part")
     )
     lo = F.greatest(F.col(start), F.lit(0))
@@ -107,6 +109,22 @@ def fetch_sequences(
     # Cut before the aggregate, whose sorted rows would hold whole blocks otherwise.
     cut_parts = joined.select(*bed.columns, "__b", part.alias("p"))
     parts = cut_parts.groupBy(*bed.columns).agg(F.array_sort(F.collect_list(F.struct("__b", "p"))).alias("__parts"))
-    whole = F.upper(F.array_join(F.transform("__parts", lambda x: x["p"]), ""))
-    cut = parts.withColumn("__whole", whole)
-    return cut.select(*bed.columns, slice_strand(F.col("__whole"), F.lit(0), F.length("__whole"), F.col(strand)).alias(out))
+    whole = F.array_join(F.transform("__parts", lambda x: x["p"]), "")
+    return parts.select(*bed.columns, F.when(F.col(strand) == "-", rev_comp(whole)).otherwise(whole).alias(out))
+
+
+def process_alignments(lines: DataFrame, genome: DataFrame | None = None, to_upper: bool = True, col: str = "value") -> DataFrame:
+    """Alignments of SAM lines, with the genome's bases if it is given.
+
+    Columns are those of sam_to_bed() and ``derived_seq``: the bases between
+    the ends clipped to the sequence, while the coordinates stay unclipped;
+    null on unknown sequences and beyond their ends.  Every alignment comes out
+    as often as it is there.  Bases are in upper case; with ``to_upper=False``
+    they are as the genome has them.
+    """
+    bed = sam_to_bed(lines, col)
+    if genome is None:
+        return bed
+    place = ["align_seqid", "align_start", "align_stop", "align_strand"]
+    found = fetch_sequences(bed.select(*place), genome, keep_case=not to_upper)
+    return bed.join(found, place, "left").select(*bed.columns, "derived_seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hybrispark.errors import PipelineStateError
@@ -16,9 +16,9 @@ from hybrispark.operators.alignment import align
 from hybrispark.operators.bases import MOST
 from hybrispark.operators.duplex import predict_discriminant, predict_trees
 from hybrispark.operators.kmers import add_max_kmer, build_kmer_index
-from hybrispark.operators.mining import MiningConfig, config, mine
+from hybrispark.operators.mining import MiningConfig, config, mine, mine_pieces
 from hybrispark.operators.scoring import label_on_target, merge_alignments, score_probes
-from hybrispark.sources import sinks
+from hybrispark.sources import files, sinks
 
 
 def mine_candidates(sequences: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", cfg: MiningConfig = MiningConfig()) -> DataFrame:
@@ -26,6 +26,12 @@ def mine_candidates(sequences: DataFrame, id_col: str = "seq_id", seq_col: str =
     return mine(sequences, id_col, seq_col, cfg).withColumn("seqid", probe_id("seq_id", "start", "stop"))
 
 
+def mine_fasta(spark: SparkSession, path: str, cfg: MiningConfig = MiningConfig()) -> DataFrame:
+    """Probes of the records of a FASTA file with their key; no record is ever one row."""
+    pieces = files.read_fasta_pieces(spark, path, cfg.chunk_size, cfg.max_length - 1)
+    return mine_pieces(pieces, cfg).withColumn("seqid", probe_id("seq_id", "start", "stop"))
+
+
 def align_candidates(probes: DataFrame, genome: DataFrame, preset="very-sensitive-local", k: int | None = 100, **settings) -> DataFrame:
     """Alignments of probes, one row for each probe and place, keyed by ``seqid``; settings are those of align()."""
     found = align(probes, genome, "probe_seq", preset, k, **settings)
@@ -79,10 +85,29 @@ class ProbeSet:
     scores: DataFrame | None = None
     labels: tuple[str, ...] = field(default=())
 
+    def __post_init__(self):
+        if "seqid" not in self.probes.columns:
+            object.__setattr__(self, "probes", self.probes.withColumn("seqid", probe_id("seq_id", "start", "stop")))
+
     @classmethod
     def from_sequences(cls, sequences: DataFrame, **settings) -> ProbeSet:
         return cls(mine_candidates(sequences, cfg=config(**settings)))
 
+    @classmethod
+    def from_fasta(cls, spark: SparkSession, path: str, **settings) -> ProbeSet:
+        """Probes mined from the records of a FASTA file."""
+        return cls(mine_fasta(spark, path, config(**settings)))
+
+    @classmethod
+    def from_csv(cls, spark: SparkSession, path: str) -> ProbeSet:
+        """Probes as to_csv() writes them."""
+        return cls(files.read_probe_csv(spark, path))
+
+    @classmethod
+    def from_rows(cls, spark: SparkSession, rows: Sequence[tuple]) -> ProbeSet:
+        """Probes from a few tuples (seq_id, start, stop, probe_seq, tm), none too."""
+        return cls(spark.createDataFrame(list(rows), files.PROBE_SCHEMA))
+
     def _need(self, step: str) -> DataFrame:
         table = getattr(self, step)
         if table is None:
@@ -130,9 +155,43 @@ class ProbeSet:
     def write(self, path: str, fmt: str = "bed") -> None:
         sinks.write_probes(self.probes, path, fmt)
 
+    def to_csv(self, path: str) -> None:
+        """All columns, numbers with a point to two decimals."""
+        sinks.write_probe_table(self.probes, path)
+
+    def to_bed(self, path: str) -> None:
+        sinks.write_probes(self.probes, path, "bed")
+
+    def to_fastq(self, path: str) -> None:
+        sinks.write_probes(self.probes, path, "fastq")
+
+    def to_fasta(self, path: str, width: int | None = 60) -> None:
+        """Bases under the probes' keys; of equal keys the last by place and bases."""
+        rows = self.probes.select("seqid", "probe_seq", F.struct("seq_id", "start", "stop", "probe_seq").alias("__o"))
+        sinks.write_fasta(sinks.last_by_key(rows, "seqid", "__o"), path, "seqid", "probe_seq", width)
+
+    def rows(self) -> DataFrame:
+        """The first five columns, as mining gives them."""
+        return self.probes.select("seq_id", "start", "stop", "probe_seq", "tm")
+
+    def save_align_csv(self, path: str) -> None:
+        sinks.write_align_csv(self._need("alignments"), path)
+
+    def load_align_csv(self, path: str) -> ProbeSet:
+        """The set with alignments as save_align_csv() wrote them."""
+        return replace(self, alignments=files.read_align_csv(self.probes.sparkSession, path))
+
+    def save_merged_csv(self, path: str) -> None:
+        sinks.write_align_csv(self._need("merged"), path)
+
     def count(self) -> int:
         return self.probes.count()
 
+    def summary(self) -> str:
+        """The numbers of probes, alignments and duplexes, which are counted for it."""
+        n = [t.count() if t is not None else 0 for t in (self.probes, self.alignments, self.merged)]
+        return f"ProbeSet(probes={n[0]}, alignments={n[1]}, duplexes={n[2]})"
+
 
 def mine_exons(exons: DataFrame, genome: DataFrame, cfg: MiningConfig = MiningConfig()) -> DataFrame:
     """Probes of every distinct exon, keyed by its label."""

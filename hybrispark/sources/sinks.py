@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybrispark.errors import ConfigurationError, EmptyExportError
 from hybrispark.functions.seqfn import probe_id
+from hybrispark.operators.annotation import classify_ids
+from hybrispark.sources import files
 
 
 def bed_lines(probes: DataFrame) -> DataFrame:
@@ -46,6 +50,14 @@ def _save(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def _not_empty(spark: SparkSession, path: str, what: str) -> None:
+    """An error, and no folder left, if nothing was written; the plan isn't run for it."""
+    if spark.read.text(path).isEmpty():
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        raise EmptyExportError(f"no {what} to write")
+
+
 def write_probes(probes: DataFrame, path: str, fmt: str = "bed") -> None:
     """Write probes as bed, fastq or csv."""
     if fmt == "csv":
@@ -59,9 +71,9 @@ def write_probes(probes: DataFrame, path: str, fmt: str = "bed") -> None:
 
 
 def write_fasta(sequences: DataFrame, path: str, id_col: str = "seq_id", seq_col: str = "seq", width: int | None = 60) -> None:
-    if sequences.isEmpty():
-        raise EmptyExportError("no sequences to write")
+    """Write a folder of FASTA files; an error without sequences, told by what was written."""
     _save(fasta_lines(sequences, id_col, seq_col, width), path)
+    _not_empty(sequences.sparkSession, path, "sequences")
 
 
 def split_fasta(sequences: DataFrame, path: str, id_col: str = "seq_id", seq_col: str = "seq", width: int | None = 60) -> None:
@@ -70,14 +82,14 @@ def split_fasta(sequences: DataFrame, path: str, id_col: str = "seq_id", seq_col
     lines.write.mode("overwrite").partitionBy("id").text(path)
 
 
+# The columns of the annotation formats.
 GTF_COLUMNS = ["seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes"]
 BED_COLUMNS = ["seqid", "start", "end", "gene_id", "score", "strand", "coverage", "transcript_id"]
 
 
 def write_gtf(gtf: DataFrame, path: str) -> None:
-    if gtf.isEmpty():
-        raise EmptyExportError("no annotation to write")
     gtf.write.mode("overwrite").csv(path, sep="\t", quote='"', escape='"')
+    _not_empty(gtf.sparkSession, path, "annotation")
 
 
 def write_annotation_bed(gtf: DataFrame, path: str) -> None:
@@ -99,3 +111,41 @@ def write_probe_table(probes: DataFrame, path: str) -> None:
     kinds = dict(probes.dtypes)
     cols = [F.format_string("%.2f", c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in probes.columns]
     probes.select(*cols).write.mode("overwrite").csv(path, header=True)
+
+
+def write_classes(ids: DataFrame, path: str, rules: Mapping[str, str] | None = None, default: str = "canonical", id_col: str = "seq_id") -> DataFrame:
+    """The class of every id, written tab-separated with a header; the classes."""
+    classes = ids.select(F.col(id_col).alias("seq_id"), classify_ids(id_col, rules, default).alias("category"))
+    classes.write.mode("overwrite").csv(path, sep="\t", header=True)
+    return classes
+
+
+def merge_text_files(spark: SparkSession, patterns: list[str], path: str) -> None:
+    """The lines of text files one after another, by file name and place in the file."""
+    lines = spark.read.text(patterns).select(
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    lines.orderBy("file", "part", "row").select("value").write.mode("overwrite").text(path)
+
+
+def merge_fastas(spark: SparkSession, folder: str, path: str) -> None:
+    """All FASTA files of a folder as one, by file name; an error without any."""
+    found = files._existing(spark, [f"{folder}/*{e}" for e in files.FASTA_EXTENSIONS], "FASTA files", folder)
+    merge_text_files(spark, found, path)
+
+
+def merge_annotation_beds(spark: SparkSession, folder: str, path: str, extension: str = ".bed") -> None:
+    """All annotation files of an ending in a folder as one, by file name; an error without any."""
+    merge_text_files(spark, files._existing(spark, [f"{folder}/*{extension}"], "annotation files", folder), path)
+
+
+def to_fasta_text(sequences: Sequence[str], ids: Sequence[str] | None = None) -> str:
+    """A few sequences as FASTA text; without ids they are seq_0, seq_1 and so on."""
+    names = [f"seq_{i}" for i in range(len(sequences))] if ids is None else ids
+    return "".join(f">{n}\n{s}\n" for n, s in zip(names, sequences))
+
+
+def to_fastq_text(sequences: Sequence[str], ids: Sequence[str] | None = None) -> str:
+    """A few sequences as FASTQ text of the highest quality."""
+    names = [f"seq_{i}" for i in range(len(sequences))] if ids is None else ids
+    return "".join(f"@{n}\n{s}\n+\n{'~' * len(s)}\n" for n, s in zip(names, sequences))

@@ -62,6 +62,14 @@ def pdup() -> str:
         SELECT probe_id, CASE WHEN x IS NOT NULL THEN round(least({2 * a * b!r} / (x + sqrt(x * x - {4 * a * b!r})) / {b!r}, 1.0), 6) END AS pdup FROM x"""
 
 
+def pdup_strands(conc_a: float, conc_b: float, temperature: float, names: tuple[str, ...], share: float) -> str:
+    """The closed form for a probe and its reverse complement, divided among equal competitors."""
+    rt = thermo.GAS_CONSTANT / 1000 * (thermo.KELVIN + temperature)
+    cols = ", ".join(f"CASE WHEN x IS NOT NULL THEN round(least({2 * conc_a * conc_b!r} / (x + sqrt(x * x - {4 * conc_a * conc_b!r})) / {conc_b!r}, 1.0) * {share}, 6) END AS {n}" for n in names)
+    return f"""WITH {PROBES}, g AS (SELECT probe_id, CASE WHEN regexp_full_match(probe_seq, '[ACGT]{{2,}}') THEN exp({_free(temperature, Conditions(pct_formamide=0))} / {rt!r}) END AS k FROM p),
+        x AS (SELECT *, {conc_a + conc_b!r} + k AS x FROM g) SELECT probe_id, {cols} FROM x"""
+
+
 def pdup_competitive() -> str:
     rt = thermo.GAS_CONSTANT / 1000 * (thermo.KELVIN + 60.0)
     g = _free(60.0, Conditions(pct_formamide=0))
@@ -324,12 +332,12 @@ def _set(n: int) -> str:
         FROM range({n}) r(k))"""
 
 
-_TARGETS = """tg AS (
-    SELECT p_partkey AS probe_ord, p_brand AS target, translate(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 24), '0123456789abcdef', 'ACGTACGTACGTACGT') AS probe_seq FROM part
+_TARGETS = f"""{PROBES}, tg AS (
+    SELECT probe_id AS probe_ord, seq_id AS target, probe_seq FROM p
 ), nu AS (
     SELECT target, row_number() OVER (ORDER BY min(probe_ord)) - 1 AS no FROM tg GROUP BY target
 ), tn AS (
-    SELECT tg.*, nu.no, row_number() OVER (PARTITION BY tg.target ORDER BY probe_ord) - 1 AS rn FROM tg JOIN nu ON tg.target = nu.target
+    SELECT tg.*, nu.no, row_number() OVER (PARTITION BY tg.target ORDER BY probe_ord) - 1 AS rn FROM tg LEFT JOIN nu ON tg.target = nu.target
 )"""
 
 
@@ -412,9 +420,10 @@ def _mine_flattened_sql() -> str:
     return f"""{mined} SELECT *, seq_id || ':' || "start" || '-' || "stop" AS seqid FROM r"""
 
 
-def build(mining: dict[str, dict]) -> dict[str, str]:
+def build(mining: dict[str, dict], size: int, strands: tuple[float, float, float]) -> dict[str, str]:
     """The SQL of every core query that SQL can express on whole tables."""
     kinds = " ".join(f"WHEN regexp_matches(seq_id, '{p}') THEN '{n}'" for n, p in ID_RULES.items())
+    entry = "coalesce(e.id || '_' || e.seq, '')"
     joined = lambda left: "e.seq || 'TTT' || probe_seq" if left else "probe_seq || 'TTT' || e.seq"
     out = {
         "dna_scan": f"WITH {SEQUENCES} SELECT * FROM s",
@@ -481,15 +490,17 @@ def build(mining: dict[str, dict]) -> dict[str, str]:
         "p2_values": PACKED_ERRORS,
         "flatten_isoforms": f"WITH {_FLAT} SELECT * FROM fl",
         "append_same": f"""WITH {_TARGETS} SELECT probe_ord, {joined(True)} AS sequence, e.id || '_' || e.seq AS entry FROM tg CROSS JOIN {_set(1)} e""",
-        "append_unique": f"""WITH {_TARGETS} SELECT probe_ord, {turned('e.seq')} || 'TTT' || probe_seq AS sequence, e.id || '_' || e.seq AS entry FROM tn JOIN {_set(60)} e ON e.i = no""",
-        "append_multiple": f"""WITH {_TARGETS} SELECT probe_ord, {joined(False)} AS sequence, e.id || '_' || e.seq AS entry FROM tn JOIN {_set(180)} e ON e.i = no * 3 + rn % 3""",
+        "append_unique": f"""WITH {_TARGETS} SELECT probe_ord, CASE WHEN e.id IS NULL THEN probe_seq ELSE {turned('e.seq')} || 'TTT' || probe_seq END AS sequence, {entry} AS entry FROM tn LEFT JOIN {_set(size)} e ON e.i = no""",
+        "append_multiple": f"""WITH {_TARGETS} SELECT probe_ord, CASE WHEN e.id IS NULL THEN probe_seq ELSE {joined(False)} END AS sequence, {entry} AS entry FROM tn LEFT JOIN {_set(3 * size)} e ON e.i = no * 3 + rn % 3""",
         "append_custom": f"""WITH {_TARGETS}, a AS (SELECT max(CASE i WHEN 0 THEN seq END) AS s0, max(CASE i WHEN 1 THEN seq END) AS s1, max(CASE i WHEN 2 THEN seq END) AS s2 FROM {_set(3)})
             SELECT probe_ord, CASE WHEN probe_ord BETWEEN 120 AND 150 THEN s2 || 'TTT' ELSE '' END || CASE WHEN probe_ord BETWEEN 40 AND 90 THEN s1 || 'TTT' ELSE '' END
                 || CASE WHEN probe_ord BETWEEN 1 AND 50 THEN s0 || 'TTT' ELSE '' END || probe_seq AS sequence,
                 CASE WHEN probe_ord BETWEEN 120 AND 150 THEN 's3_' || s2 WHEN probe_ord BETWEEN 40 AND 90 THEN 's2_' || s1 WHEN probe_ord BETWEEN 1 AND 50 THEN 's1_' || s0 ELSE '' END AS entry
             FROM tg CROSS JOIN a""",
-        "append_saber": f"""WITH {_TARGETS} SELECT probe_ord, {joined(False)} AS sequence, e.id || '_' || e.seq AS entry FROM tn JOIN {_set(60)} e ON e.i = no""",
+        "append_saber": f"""WITH {_TARGETS} SELECT probe_ord, CASE WHEN e.id IS NULL THEN probe_seq ELSE {joined(False)} END AS sequence, {entry} AS entry FROM tn LEFT JOIN {_set(size)} e ON e.i = no""",
         "master_table": f"""WITH {_TARGETS}, o AS (SELECT id || '_' || seq AS entry FROM {_set(1)})
-            SELECT probe_ord, o.entry AS "outer", e.id || '_' || e.seq AS "inner" FROM tn JOIN {_set(60)} e ON e.i = no CROSS JOIN o""",
+            SELECT probe_ord, o.entry AS "outer", {entry} AS "inner" FROM tn LEFT JOIN {_set(size)} e ON e.i = no CROSS JOIN o""",
+        "pdup_strands": pdup_strands(*strands, ("pdup",), 1.0),
+        "pdup_competing": pdup_strands(*strands, ("a_target", "b_target"), 0.5),
     }
     return out | {name: mining_sql(**settings) for name, settings in mining.items()}

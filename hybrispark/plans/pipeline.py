@@ -18,6 +18,7 @@ from hybrispark.operators.duplex import predict_discriminant, predict_trees
 from hybrispark.operators.kmers import add_max_kmer, build_kmer_index
 from hybrispark.operators.mining import MiningConfig, config, mine, mine_pieces
 from hybrispark.operators.scoring import label_on_target, merge_alignments, score_probes
+from hybrispark.session import checkpointed
 from hybrispark.sources import files, sinks
 
 
@@ -63,10 +64,12 @@ def design_probes(
 
     ``genome`` is what probes are aligned to and k-mers counted in, the
     sequences themselves by default.  Without a tree ``model`` the linear
-    discriminant predicts.
+    discriminant predicts.  Probes are mined at once and written to the shared
+    checkpoint folder.
     """
     genome = sequences if genome is None else genome
-    probes = add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k, coded=k <= MOST), k)
+    # Written once: counting, aligning and merging would each mine again.
+    probes = checkpointed(add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k, coded=k <= MOST), k))
     merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments, longest=cfg.max_length))
     if with_pdup:
         merged = merged.withColumn("pdup", thermo.duplex_probability("probe_seq"))

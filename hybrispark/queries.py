@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hybrispark import oracles
-from hybrispark.functions import seqfn, thermo
+from hybrispark.functions import binding, seqfn, thermo
 from hybrispark.functions.thermo import Conditions
 from hybrispark.operators import annotation, appending, duplex, kmers, sam, scoring
 from hybrispark.operators.alignment import align
@@ -16,7 +16,7 @@ from hybrispark.operators.interval_cover import cover_and_gaps
 from hybrispark.operators.mining import config, mine, tm_grid
 from hybrispark.operators.packed_values import split_packed_values
 from hybrispark.plans import pipeline
-from hybrispark.session import read_table
+from hybrispark.session import checkpointed, read_table
 from hybrispark.sources import sinks
 from hybrispark.sources.files import chromosome_sizes
 
@@ -151,6 +151,30 @@ def pdup_competitive(spark, sf_dir):
     return p.select("probe_id", F.round("x.on_target", 6).alias("on_target"), F.round("x.off_target", 6).alias("off_target"))
 
 
+def pdup_strands(spark, sf_dir):
+    """Each probe with its reverse complement as a second strand of its own, at concentrations where not all bind."""
+    p = probes(spark, sf_dir).select("probe_id", F.col("probe_seq").alias("a"), seqfn.rev_comp("probe_seq").alias("b"))
+    both = binding.duplex_probability_of("a", "b", *STRANDS)
+    return p.select("probe_id", F.round(both, 6).alias("pdup"))
+
+
+def pdup_competing(spark, sf_dir):
+    """Each probe competing with itself for its reverse complement."""
+    p = probes(spark, sf_dir).select("probe_id", F.col("probe_seq").alias("a"), seqfn.rev_comp("probe_seq").alias("t"))
+    conc_a, conc_t, temperature = STRANDS
+    both = binding.competitive_probability_of("a", "a", "t", conc_a / 2, conc_a / 2, conc_t, temperature)
+    return p.select("probe_id", both.alias("x")).select("probe_id", F.round("x.a_target", 6).alias("a_target"), F.round("x.b_target", 6).alias("b_target"))
+
+
+def unpaired(spark, sf_dir):
+    """Probability that a probe doesn't fold."""
+    return probes(spark, sf_dir).select("probe_id", F.round(binding.unpaired_probability("probe_seq", 37.0), 6).alias("unpaired"))
+
+
+#: Concentrations and temperature at which the probes bind in part.
+STRANDS = (1e-16, 1e-18, 45.0)
+
+
 # --- mining -------------------------------------------------------------------
 
 
@@ -442,12 +466,12 @@ def spliced_seq(spark, sf_dir):
 
 
 def flatten_isoforms(spark, sf_dir):
-    return annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id").drop("score")
+    return annotation.flatten_isoforms(checkpointed(exons(spark, sf_dir).where("gene_id <> ''")), "rec_id").drop("score")
 
 
 def mine_flattened(spark, sf_dir):
     # Flattened where the annotation has them: moved exons of a gene no longer overlap.
-    flat = annotation.flatten_isoforms(exons(spark, sf_dir).where("gene_id <> ''"), "rec_id")
+    flat = annotation.flatten_isoforms(checkpointed(exons(spark, sf_dir).where("gene_id <> ''")), "rec_id")
     return pipeline.mine_flattened(_localized(flat, spark, sf_dir), _genome(spark, sf_dir))
 
 
@@ -455,9 +479,12 @@ def mine_flattened(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    p = read_table(spark, sf_dir, "part")
-    bases = F.translate(F.substr(F.md5(F.col("p_partkey").cast("string")), F.lit(1), F.lit(24)), "0123456789abcdef", "ACGTACGTACGTACGT")
-    return p.select(F.col("p_partkey").alias("probe_ord"), F.col("p_brand").alias("target"), bases.alias("probe_seq"))
+    """All probes; the sequence a probe comes from is its target."""
+    return probes(spark, sf_dir).select(F.col("probe_id").alias("probe_ord"), F.col("seq_id").alias("target"), "probe_seq")
+
+
+#: Sequences in the sets by rule; more targets than that are an error.
+SET_SIZE = 100_000
 
 
 def _set(n: int) -> list[tuple[str, str]]:
@@ -470,11 +497,11 @@ def append_same(spark, sf_dir):
 
 
 def append_unique(spark, sf_dir):
-    return appending.append_unique(_targets(spark, sf_dir), _set(60), "target", rc=True).select("probe_ord", "sequence", "entry")
+    return appending.append_unique(_targets(spark, sf_dir), _set(SET_SIZE), "target", rc=True).select("probe_ord", "sequence", "entry")
 
 
 def append_multiple(spark, sf_dir):
-    return appending.append_multiple(_targets(spark, sf_dir), _set(180), 3, "target", left=False).select("probe_ord", "sequence", "entry")
+    return appending.append_multiple(_targets(spark, sf_dir), _set(3 * SET_SIZE), 3, "target", left=False).select("probe_ord", "sequence", "entry")
 
 
 def append_custom(spark, sf_dir):
@@ -482,17 +509,17 @@ def append_custom(spark, sf_dir):
 
 
 def append_saber(spark, sf_dir):
-    return appending.append_saber(_targets(spark, sf_dir), _set(60), target="target").select("probe_ord", "sequence", "entry")
+    return appending.append_saber(_targets(spark, sf_dir), _set(SET_SIZE), target="target").select("probe_ord", "sequence", "entry")
 
 
 def master_table(spark, sf_dir):
     p = appending.append_same(_targets(spark, sf_dir), _set(3), label="outer")
-    p = appending.append_unique(p, _set(60), "target", left=False, label="inner")
+    p = appending.append_unique(p, _set(SET_SIZE), "target", left=False, label="inner")
     return appending.appending_table(p, "probe_ord", ["outer", "inner"])
 
 
 def append_barcodes(spark, sf_dir):
-    codes = ["".join("1" if j in {i % 16, (i + 3) % 16, (i + 7) % 16, (i + 12) % 16} else "0" for j in range(16)) for i in range(60)]
+    codes = ["".join("1" if j in {i % 16, (i + 3) % 16, (i + 7) % 16, (i + 12) % 16} else "0" for j in range(16)) for i in range(SET_SIZE)]
     return appending.append_barcodes(_targets(spark, sf_dir), _set(16), codes, "target").select("probe_ord", "target", "sequence")
 
 
@@ -523,6 +550,9 @@ QUERIES: dict[str, Query] = {
     "probe_tm_salt": probe_tm_salt,
     "pdup_two_state": pdup_two_state,
     "pdup_competitive": pdup_competitive,
+    "pdup_strands": pdup_strands,
+    "pdup_competing": pdup_competing,
+    "unpaired": unpaired,
     "tm_windows": tm_windows,
     "kmer_count": kmer_count,
     "kmer_canonical": kmer_canonical,
@@ -564,7 +594,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
-    **oracles.build(MINING),
+    **oracles.build(MINING, SET_SIZE, STRANDS),
     "p2_found": oracles.PACKED,
     "p2_bracketed": """
         WITH d AS (

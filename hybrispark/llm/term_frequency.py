@@ -137,12 +137,12 @@ class _Run:
         return pa.RecordBatch.from_arrays(columns, names=["term", "record", "n", "records", "place"])
 
 
-def _bounds(texts: DataFrame, kind: Terms, parts: int, rows: int = 20_000) -> list:
+def _bounds(texts: DataFrame, n: int, kind: Terms, parts: int) -> list:
     """Terms that divide all of them into about equal parts; they decide where a term is counted, not what.
 
-    They come from up to five terms each of about ``rows`` texts.
+    They come from up to five terms each of about 5,000 of ``n`` texts, or 20 a part.
     """
-    n = texts.count()
+    rows = max(5_000, 20 * parts)
     if parts < 2 or not n:
         return []
 
@@ -192,7 +192,7 @@ def term_frequency(
     total = named.agg(F.countDistinct("__id"))
     texts = named.where("__text IS NOT NULL")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(texts.select("__text"), kind, parts)
+    bounds = _bounds(texts.select("__text"), df.count(), kind, parts)
     records = texts.groupBy("__id").agg(F.max("__text").alias("__text"))
     # The id is needed for long texts only.
     records = records.select("__text", F.when(F.length("__text") > SLICE, F.col("__id").cast("string")).alias("__id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hybrispark.errors import ConfigurationError, ReferenceIndexError
 from hybrispark.functions.seqfn import kmers, rev_comp
@@ -181,7 +182,66 @@ def max_kmer(index: DataFrame, probes: DataFrame, seq_col: str = "probe_seq", k:
     return seqs.join(best.hint("merge"), "sequence", "left")
 
 
-def add_max_kmer(probes: DataFrame, index: DataFrame, k: int = 18, seq_col: str = "probe_seq", canonical: bool = False) -> DataFrame:
-    """The probes with ``max_kmer``, null where a sequence is null or shorter than k."""
+#: Words of more than one place up to which they are sent to all executors, at sixteen bytes each.
+MOST_REPEATED = 1_000_000
+
+
+def add_max_kmer(
+    probes: DataFrame, index: DataFrame, k: int = 18, seq_col: str = "probe_seq", canonical: bool = False, within: bool = False
+) -> DataFrame:
+    """The probes with ``max_kmer``, null where a sequence is null or shorter than k.
+
+    ``within`` tells that the index holds every word of the probes, as one over
+    the sequences they were cut from does.  Then words that occur once needn't
+    be looked up: with a coded index, and unless it has more than
+    MOST_REPEATED words of several places, the probes are neither multiplied
+    nor shuffled.
+    """
+    if within and "code" in index.columns:
+        # Asked for with a bound; one more than it tells that there are more.
+        found = index.where(F.col("cnt") > 1).limit(MOST_REPEATED + 1).toArrow()
+        if found.num_rows <= MOST_REPEATED:
+            return _add_from_repeated(probes, found, k, seq_col, canonical)
     best = max_kmer(index, probes, seq_col, k, canonical).withColumnRenamed("sequence", "__s")
     return probes.join(best.hint("merge"), probes[seq_col] == F.col("__s"), "left").drop("__s")
+
+
+def _add_from_repeated(probes: DataFrame, repeated: pa.Table, k: int, seq_col: str, canonical: bool) -> DataFrame:
+    code, count = (repeated.column(c).to_numpy() for c in ("code", "cnt"))
+    order = np.argsort(code)
+    shared = probes.sparkSession.sparkContext.broadcast((code[order], count[order]))
+    at = probes.columns.index(seq_col)
+    schema = T.StructType([*probes.schema.fields, T.StructField("max_kmer", T.IntegerType())])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            low = 0
+            while low < len(texts):
+                high, held = low, 0
+                while high < len(texts) and held < 1_000_000:
+                    held += len(texts[high] or "") + 1
+                    high += 1
+                best = _best(texts[low:high], known, counts)
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), best], names=schema.fieldNames())
+                low = high
+
+    def _best(texts: list[str | None], known: np.ndarray, counts: np.ndarray) -> pa.Array:
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        code, whole = _packed(bases.to_codes("\n".join((t or "").upper() for t in texts)), k, canonical)
+        value = whole.astype(np.int64)
+        if len(known) and len(code):
+            near = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            value = np.where(whole & (known[near] == code), counts[near], value)
+        n = np.maximum(sizes - k + 1, 0)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        best = np.zeros(len(texts), np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            # Places of the words of each text, and of those across texts, in turn.
+            edges = np.stack([first[some], first[some] + n[some]], 1).ravel()
+            best[some] = np.maximum.reduceat(np.append(value, 0), edges)[::2]
+        return pa.array(best.astype(np.int32), mask=n == 0)
+
+    return probes.mapInArrow(look_up, schema)

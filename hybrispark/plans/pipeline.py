@@ -67,9 +67,9 @@ def design_probes(
     discriminant predicts.  Probes are mined at once and written to the shared
     checkpoint folder.
     """
-    genome = sequences if genome is None else genome
+    within, genome = genome is None, sequences if genome is None else genome
     # Written once: counting, aligning and merging would each mine again.
-    probes = checkpointed(add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k, coded=k <= MOST), k))
+    probes = checkpointed(add_max_kmer(mine_candidates(sequences, cfg=cfg), build_kmer_index(genome, k=k, coded=k <= MOST), k, within=within))
     merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments, longest=cfg.max_length))
     if with_pdup:
         merged = merged.withColumn("pdup", thermo.duplex_probability("probe_seq"))

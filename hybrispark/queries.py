@@ -223,7 +223,7 @@ def kmer_query(spark, sf_dir):
 
 def max_kmer(spark, sf_dir):
     index = kmers.build_kmer_index(probes(spark, sf_dir).where("probe_seq IS NOT NULL"), "probe_id", "probe_seq", 18, coded=True)
-    return kmers.add_max_kmer(probes(spark, sf_dir).drop("max_kmer"), index).select("probe_id", F.col("max_kmer").cast("double").alias("max_kmer"))
+    return kmers.add_max_kmer(probes(spark, sf_dir).drop("max_kmer"), index, within=True).select("probe_id", F.col("max_kmer").cast("double").alias("max_kmer"))
 
 
 # --- alignments -----------------------------------------------------------------

@@ -286,3 +286,16 @@ def test_words_as_numbers(spark, rows, k, canonical):
     for coded in {False, k <= 31}:
         index = kmers.build_kmer_index(df, k=k, canonical=canonical, coded=coded)
         assert rows(kmers.max_kmer(index, probes, k=k, canonical=canonical)) == sorted(best)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_max_kmer_within(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(kmers, "MOST_REPEATED", most)
+    unit = dna(40, 8)
+    texts = [unit + dna(60, 9) + unit, unit[:30].lower(), dna(50, 3) + "N" + dna(30, 2), "ACGT", None, "", "N" * 30, dna(18, 1)]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "seq_id int, probe_seq string, code int").repartition(2)
+    for canonical in (False, True):
+        index = kmers.build_kmer_index(df, "seq_id", "probe_seq", 18, canonical, coded=True)
+        plain = kmers.add_max_kmer(df, kmers.build_kmer_index(df, "seq_id", "probe_seq", 18, canonical), canonical=canonical)
+        within = kmers.add_max_kmer(df, index, canonical=canonical, within=True)
+        assert within.columns == plain.columns and rows(within) == rows(plain)

@@ -197,7 +197,7 @@ def mine_pieces(pieces: DataFrame, cfg: MiningConfig = MiningConfig()) -> DataFr
             lengths = [len(x) for x in batch.column(3).to_pylist()]
             for i, n in enumerate(lengths):
                 held += n + 1
-                if held >= 2_000_000 or i == len(lengths) - 1:
+                if held >= 500_000 or i == len(lengths) - 1:
                     yield from _search(batch.slice(low, i + 1 - low))
                     low, held = i + 1, 0
 

@@ -16,6 +16,10 @@ from hybrispark.operators import bases
 from hybrispark.operators.mining import chunks
 
 
+#: Letters of words up to which all possible ones fit in a table of counts: 4 ** 11 numbers, 32 MB.
+DENSE = 11
+
+
 def canonical(word: Column) -> Column:
     """The smaller of a word and its reverse complement."""
     return F.least(word, rev_comp(word))
@@ -39,8 +43,12 @@ def count_codes(df: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", k:
     if not 1 <= k <= bases.MOST:
         raise ConfigurationError(f"packed words have 1 to {bases.MOST} letters")
 
+    dense = k <= DENSE
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        # Short words are counted in a table of all possible ones, once a task.
+        table = np.zeros(4**k if dense else 0, np.int64)
 
         def flush() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
@@ -55,13 +63,20 @@ def count_codes(df: DataFrame, id_col: str = "seq_id", seq_col: str = "seq", k:
                     size += len(texts[high]) + 1
                     high += 1
                 code, whole = _packed(bases.to_codes("\n".join(texts[low:high])), k, canonical)
-                held.append(code[whole])
                 low = high
+                if dense:
+                    table += np.bincount(code[whole], minlength=len(table))
+                    continue
+                held.append(code[whole])
                 if sum(map(len, held)) >= run:
                     yield flush()
                     held = []
         if held:
             yield flush()
+        seen = np.flatnonzero(table)
+        for low in range(0, len(seen), 100_000):
+            some = seen[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["code", "n"])
 
     # A chunk holds the words that begin in it, the last of which reach into its halo.
     pieces = chunks(df, id_col, seq_col, piece, k - 1).select("piece")
@@ -123,14 +138,54 @@ def load_kmer_index(spark: SparkSession, path: str, k: int | None = None) -> tup
     return spark.read.parquet(f"{path}/counts"), meta["k"], meta["canonical"]
 
 
-def query_kmers(index: DataFrame, words: DataFrame, col: str = "kmer", canonical: bool = False) -> DataFrame:
-    """The rows of ``words`` with the count of each word, 0 for one the index doesn't hold."""
+def query_kmers(index: DataFrame, words: DataFrame, col: str = "kmer", canonical: bool = False, k: int | None = None) -> DataFrame:
+    """The rows of ``words`` with the count of each word, 0 for one the index doesn't hold.
+
+    With a coded index of words of ``k`` letters rows are joined by number, or,
+    up to DENSE letters, look their word up in a table of all possible words,
+    which bounds what is sent to the executors, and aren't shuffled.
+    """
     key = F.upper(words[col])
-    keyed = words.withColumn("__k", F.least(key, rev_comp(key)) if canonical else key)
-    counts = index.select(F.col("kmer").alias("__k"), F.col("cnt").cast("long").alias("cnt"))
+    if "code" in index.columns:
+        if k is None:
+            raise ConfigurationError("a coded index tells nothing of k")
+        if k <= DENSE:
+            return _look_up(index, words, col, canonical, k)
+        word = F.least(key, rev_comp(key)) if canonical else key
+        digits = F.when(key.rlike(f"^[ACGT]{{{k}}}$"), F.translate(word, "ACGT", "0123"))
+        keyed = words.withColumn("__k", F.conv(digits, 4, 10).cast("long"))
+        counts = index.select(F.col("code").alias("__k"), F.col("cnt").cast("long").alias("cnt"))
+    else:
+        keyed = words.withColumn("__k", F.least(key, rev_comp(key)) if canonical else key)
+        counts = index.select(F.col("kmer").alias("__k"), F.col("cnt").cast("long").alias("cnt"))
     return keyed.join(counts, "__k", "left").drop("__k").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
 
 
+def _look_up(index: DataFrame, words: DataFrame, col: str, canonical: bool, k: int) -> DataFrame:
+    found = index.select("code", "cnt").toArrow()
+    table = np.zeros(4**k, np.int64)
+    table[found.column("code").to_numpy()] = found.column("cnt").to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast(table)
+    at = words.columns.index(col)
+    schema = T.StructType([*words.schema.fields, T.StructField("cnt", T.LongType())])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            # Words of another length or with a line end of their own are no words of the index.
+            texts = [t.upper() if t is not None and len(t) == k else "" for t in batch.column(at).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            code, whole = _packed(bases.to_codes("\n".join(texts)), k, canonical)
+            first = np.cumsum(sizes + 1) - sizes - 1
+            fits = sizes == k
+            place = np.where(fits, first, 0)
+            fits &= whole[np.minimum(place, max(len(whole) - 1, 0))] if len(whole) else False
+            value = np.where(fits, counts[code[np.where(fits, place, 0)]], 0) if len(code) else np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=schema.fieldNames())
+
+    return words.mapInArrow(look_up, schema)
+
+
 def _probe_codes(seqs: DataFrame, k: int, canonical: bool) -> DataFrame:
     """(sequence, code) of the different words of each sequence; -1 for those with other letters."""
 

@@ -217,8 +217,8 @@ def kmer_canonical(spark, sf_dir):
 
 def kmer_query(spark, sf_dir):
     words = probes(spark, sf_dir).select("probe_id", F.explode(seqfn.kmers("probe_seq", 11)).alias("kmer"))
-    index = kmers.build_kmer_index(sequences(spark, sf_dir), k=11)
-    return kmers.query_kmers(index, words)
+    index = kmers.build_kmer_index(sequences(spark, sf_dir), k=11, coded=True)
+    return kmers.query_kmers(index, words, k=11)
 
 
 def max_kmer(spark, sf_dir):

@@ -299,3 +299,14 @@ def test_max_kmer_within(spark, rows, monkeypatch, most):
         plain = kmers.add_max_kmer(df, kmers.build_kmer_index(df, "seq_id", "probe_seq", 18, canonical), canonical=canonical)
         within = kmers.add_max_kmer(df, index, canonical=canonical, within=True)
         assert within.columns == plain.columns and rows(within) == rows(plain)
+
+
+@pytest.mark.parametrize("k, canonical", [(1, False), (5, False), (5, True), (11, True), (13, False), (13, True)])
+def test_lookups(spark, rows, k, canonical):
+    text = dna(400, 2)
+    df = spark.createDataFrame([("a", text), ("b", text[:50] + "N" + text[60:90])], "seq_id string, seq string")
+    asked = [text[a : a + k] for a in range(0, 300, 7)] + [text[3 : 3 + k].lower(), "A" * k, "N" * k, "ACGT" * 9, "", None, "é" * k, text[:k]]
+    words = spark.createDataFrame(list(enumerate(asked)), "code int, kmer string").repartition(3)
+    plain = kmers.query_kmers(kmers.build_kmer_index(df, k=k, canonical=canonical), words, canonical=canonical)
+    coded = kmers.query_kmers(kmers.build_kmer_index(df, k=k, canonical=canonical, coded=True), words, canonical=canonical, k=k)
+    assert coded.columns == plain.columns and rows(coded) == rows(plain) and coded.where("cnt > 0").count() > 20

@@ -10,6 +10,7 @@ full simulation of a test tube would give.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,22 @@ _BASES[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 _PLAIN = Conditions(pct_formamide=0)
 
 
+@dataclass(frozen=True)
+class BindingModel:
+    """What binding is computed for by default: DNA in 0.39 M sodium at 37 degrees lowered for 50 % formamide."""
+
+    sodium: float = 0.39
+    magnesium: float = 0.0
+    temperature: float = DEFAULT_TEMPERATURE
+
+    @property
+    def conditions(self) -> Conditions:
+        return Conditions(Na=1000 * self.sodium, Mg=1000 * self.magnesium, pct_formamide=0)
+
+
+DEFAULT_MODEL = BindingModel()
+
+
 def _gas(temperature: float) -> float:
     return thermo.GAS_CONSTANT / 1000 * (thermo.KELVIN + temperature)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Order of the pairs of bases in the feature table of duplex stability, a fixed value.
-DINUCLEOTIDES = "AA AT AG AC TA TT TG TC GA GT GG GC CA CT CG CC".split()
+DINUCLEOTIDES = ("AA", "AT", "AG", "AC", "TA", "TT", "TG", "TC", "GA", "GT", "GG", "GC", "CA", "CT", "CG", "CC")
 
 
 def _c(x: Column | str) -> Column:

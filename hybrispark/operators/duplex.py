@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hybrispark.errors import ConfigurationError
 from hybrispark.functions.seqfn import DINUCLEOTIDES, clamp, count_words, gc_content, rev_comp
+from hybrispark.guards import package
 
 # Coefficients of length, alignment score and GC percent, and the
 # intercept of the discriminant, by temperature in Celsius.
@@ -105,12 +106,27 @@ def predict_trees(
     return df.withColumn(out, predict(packed))
 
 
+def default_temperature(model: object) -> int:
+    """The temperature predicted for unless another is named: 37 by trees, 42 by the discriminant."""
+    return 37 if model else 42
+
+
+def predict_one_by_trees(
+    model: str | Callable[[pd.DataFrame], pd.Series], probe: str, derived: str, score: int, normalize: bool = True
+) -> float:
+    """The prediction for a single pair, without a session."""
+    turned = derived[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    share = lambda s: 100 * sum(c in "GCgc" for c in s) / len(s) if s else 0.0
+    row = {"align_score": score, "probe_gc_percent": share(probe), "derived_gc_percent": share(turned), "probe_len": len(probe), "derived_len": len(derived)}
+    row |= {f"probe_{d}": probe.count(d) for d in DINUCLEOTIDES} | {f"derived_{d}": turned.count(d) for d in DINUCLEOTIDES}
+    run = _booster(model) if isinstance(model, str) else model
+    value = float(pd.Series(run(pd.DataFrame([row]).astype(float))).clip(0, 100).iloc[0])
+    return value / (100.0 if normalize else 1.0)
+
+
 @functools.lru_cache(4)
 def _booster(path: str) -> Callable[[pd.DataFrame], pd.Series]:
-    try:
-        import xgboost
-    except ImportError as e:
-        raise ConfigurationError("reading a booster file needs the package xgboost") from e
+    xgboost = package("xgboost")
     booster = xgboost.Booster()
     booster.load_model(path)
     return lambda frame: booster.predict(xgboost.DMatrix(frame))

@@ -8,13 +8,14 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hybrispark import guards
 from hybrispark.errors import PipelineStateError
 from hybrispark.functions import thermo
 from hybrispark.functions.seqfn import probe_id
-from hybrispark.operators import annotation, appending
+from hybrispark.operators import annotation, appending, sam
 from hybrispark.operators.alignment import align
 from hybrispark.operators.bases import MOST
-from hybrispark.operators.duplex import predict_discriminant, predict_trees
+from hybrispark.operators.duplex import default_temperature, predict_discriminant, predict_trees
 from hybrispark.operators.kmers import add_max_kmer, build_kmer_index
 from hybrispark.operators.mining import MiningConfig, config, mine, mine_pieces
 from hybrispark.operators.scoring import label_on_target, merge_alignments, score_probes
@@ -56,7 +57,7 @@ def design_probes(
     k: int = 18,
     max_alignments: int = 100,
     preset="very-sensitive-local",
-    temperature: int = 42,
+    temperature: int | None = None,
     model=None,
     with_pdup: bool = False,
 ) -> Design:
@@ -73,6 +74,7 @@ def design_probes(
     merged = merge_alignments(probes, align_candidates(probes, genome, preset, max_alignments, longest=cfg.max_length))
     if with_pdup:
         merged = merged.withColumn("pdup", thermo.duplex_probability("probe_seq"))
+    temperature = default_temperature(model) if temperature is None else temperature
     merged = predict_trees(merged, model, temperature) if model else predict_discriminant(merged, temperature)
     merged = label_on_target(merged)
     return Design(probes, merged, score_probes(merged))
@@ -129,8 +131,10 @@ class ProbeSet:
     def compute_pdup(self, **settings) -> ProbeSet:
         return replace(self, merged=self._need("merged").withColumn("pdup", thermo.duplex_probability("probe_seq", **settings)))
 
-    def compute_duplex_pred(self, temperature: int = 42, model=None, normalize: bool = True) -> ProbeSet:
+    def compute_duplex_pred(self, temperature: int | None = None, model=None, normalize: bool = True) -> ProbeSet:
+        """Predictions by trees at 37 degrees if there is a model of them, else by the discriminant at 42, unless told otherwise."""
         merged = self._need("merged")
+        temperature = default_temperature(model) if temperature is None else temperature
         out = predict_trees(merged, model, temperature, normalize) if model else predict_discriminant(merged, temperature, normalize)
         return replace(self, merged=out)
 
@@ -216,3 +220,11 @@ def mine_spliced(exons: DataFrame, genome: DataFrame, cfg: MiningConfig = Mining
 
 def _mine_labelled(labelled: DataFrame, cfg: MiningConfig) -> DataFrame:
     return mine_candidates(labelled, "label", "sequence", cfg)
+
+
+def process_alignment_files(spark: SparkSession, sam_path: str | None = None, bam_path: str | None = None, genome: DataFrame | str | None = None, to_upper: bool = True) -> DataFrame:
+    """The alignments of SAM or else of BAM files, with the bases of a genome if it is given as a table or FASTA path."""
+    guards.one_of(sam_path=sam_path, bam_path=bam_path)
+    path = guards.existing_input(spark, sam_path or bam_path)
+    lines = files.read_sam(spark, path) if sam_path else files.read_bam(spark, path)
+    return sam.process_alignments(lines, None if genome is None else files.as_sequences(spark, genome), to_upper)

@@ -1,15 +1,26 @@
 """The chain of steps over files, and what goes with files."""
 
 import gzip
+import os
 import random
 import struct
 import zlib
 
 import pytest
 
-from hybrispark.errors import EmptyExportError, InvalidInputError, MissingInputError, PipelineStateError
-from hybrispark.operators import appending, sam
+from hybrispark import guards
+from hybrispark.errors import (
+    EmptyExportError,
+    InvalidInputError,
+    MissingDependencyError,
+    MissingDirectoryError,
+    MissingInputError,
+    MissingOutputError,
+    PipelineStateError,
+)
+from hybrispark.operators import appending, duplex, sam
 from hybrispark.operators.mining import chunks, config, mine
+from hybrispark.plans import pipeline
 from hybrispark.plans.pipeline import ProbeSet, mine_fasta
 from hybrispark.sources import files, sinks
 from hybrispark.streaming.live import score_stream
@@ -156,3 +167,28 @@ def test_scores_of_a_stream(spark, tmp_path):
         q.stop()
         got = {(r.seqid, r.on_target_score, r.off_target_score) for r in spark.read.parquet(str(tmp_path / f"out{time}")).collect()}
         assert got == {("a", 0.5, 0.25), ("b", 1.0, 0.0)}
+
+
+def test_guards(spark, tmp_path):
+    assert guards.one_of(a=None, b=0) == "b"
+    (tmp_path / "x.sam").write_text("q\t0\tc\t3\t9\t4M\t*\t0\t0\tACGT\t~\tAS:i:-1\n")
+    (tmp_path / "g.fa").write_text(">c\nTTACGTTT\n")
+    assert guards.existing_input(spark, str(tmp_path / "*.sam")) and guards.folder(spark, str(tmp_path / "new"), create=True) and (tmp_path / "new").is_dir()
+    assert guards.package("json").dumps(1) == "1" and guards.program("sh").endswith("sh") and guards.absolute("a") == os.path.abspath("a")
+    for bad, error in (
+        (lambda: guards.one_of(a=1, b=2), InvalidInputError), (lambda: guards.one_of(a=None), InvalidInputError), (lambda: guards.existing_input(spark, str(tmp_path / "no")), MissingInputError),
+        (lambda: guards.written_output(spark, str(tmp_path / "no")), MissingOutputError), (lambda: guards.folder(spark, str(tmp_path / "no")), MissingDirectoryError),
+        (lambda: guards.package("no_such_package"), MissingDependencyError), (lambda: guards.program("no_such_program"), MissingDependencyError),
+        (lambda: pipeline.process_alignment_files(spark), InvalidInputError), (lambda: pipeline.process_alignment_files(spark, "a", "b"), InvalidInputError),
+    ):
+        with pytest.raises(error):
+            bad()
+    got = pipeline.process_alignment_files(spark, str(tmp_path / "x.sam"), genome=str(tmp_path / "g.fa")).first()
+    assert (got.align_start, got.align_stop, got.derived_seq, got.align_score) == (2, 6, "ACGT", -1)
+
+
+def test_one_pair_by_trees(spark):
+    df = spark.createDataFrame([("ATCGGA", "TCCGAT", -3)], "probe_seq string, derived_seq string, align_score int")
+    model = lambda f: f["align_score"] + f["probe_gc_percent"] + f["derived_CG"] + f["probe_GG"] + f["derived_len"]
+    assert duplex.predict_trees(df, model).first().duplex_pred == pytest.approx(duplex.predict_one_by_trees(model, "ATCGGA", "TCCGAT", -3))
+    assert duplex.default_temperature(None) == 42 and duplex.default_temperature(model) == 37

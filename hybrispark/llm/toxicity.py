@@ -349,6 +349,8 @@ def _expected_rates(language: str) -> np.ndarray:
     for y, voters in enumerate(kinds, 1):
         for name in voters:
             rates[y, names.index(name)] = 0.5
+    # What is known to mean something else is hardly ever abuse.
+    rates[1:, names.index("homograph")] = 0.005
     for name in lex.WEAK & set(names):
         rates[0, names.index(name)] = 0.25
     return rates
@@ -377,7 +379,7 @@ def fit_label_model(fired: np.ndarray, count: np.ndarray, language: str = "engli
     if not len(fired):
         return model
     f = fired.astype(int)
-    strength = max(1.0, trust * count.sum())
+    strength = max(10.0, trust * count.sum())
     for step in range(rounds):
         q = model.kinds(f)
         prior = (count @ q + strength / kinds) / (count.sum() + strength)

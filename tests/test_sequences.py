@@ -242,6 +242,26 @@ def test_appending(targets):
             bad()
 
 
+def test_more_targets_than_sequences(targets):
+    """Targets beyond the last sequence stay as they are, the others get theirs."""
+    pairs = [("s1", "AAC"), ("s2", "CCG"), ("s3", "GGT")]
+    by = lambda df: {r.probe_ord: (r.sequence, r.entry) for r in df.collect()}
+    bare = {i: f"AC{'GT' * i}" for i in range(10)}
+    ends = lambda found: {i: (s.removeprefix(bare[i]), e) for i, (s, e) in found.items()}
+    own = {i: ("TTTAAC", "s1_AAC") if i % 2 == 0 and i < 9 else ("", "") for i in range(10)}
+    assert ends(by(appending.append_unique(targets, pairs[:1], "target", left=False, strict=False))) == own
+    assert ends(by(appending.append_saber(targets, pairs[:1], target="target", strict=False))) == own
+    # The second target has one sequence for every other of its probes.
+    many = by(appending.append_multiple(targets, pairs, 2, "target", strict=False))
+    assert [many[i][1] for i in (0, 2, 4, 1, 3, 5, 9)] == ["s1_AAC", "s2_CCG", "s1_AAC", "s3_GGT", "", "s3_GGT", ""]
+    bridges = [(str(i), "acgt"[i] * 2) for i in range(4)]
+    coded = {r.probe_ord: r.sequence for r in appending.append_barcodes(targets, bridges, ["1111"], "target", strict=False).collect()}
+    assert all((coded[i] == bare[i]) == (i % 2 == 1 or i == 9) for i in range(10))
+    for bad in (appending.append_multiple, appending.append_barcodes):
+        with pytest.raises(InvalidInputError):
+            bad(targets, pairs[:1], 1 if bad is appending.append_multiple else ["1111"], "target")
+
+
 def test_barcodes(targets):
     bridges = [(str(i), chr(ord("a") + i) * 2) for i in range(16)]
     done = appending.append_barcodes(targets, bridges, ["1111" + "0" * 12, "0" * 12 + "1111", "1010101" + "0" * 9], "target").collect()

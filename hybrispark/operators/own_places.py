@@ -203,6 +203,8 @@ def align_mined(
     word = word_length(preset.seed)
     side = max(longest + 2 * band, preset.seed) - word
     before = max(side, preset.seed)
+    # Written once: counting, indexing and searching would each shuffle it again.
+    genome = checkpointed(genome.select(F.col("seq_id").cast("string").alias("seq_id"), "seq"))
     pieces = chunks(genome, "seq_id", "seq", piece, max(cfg.max_length, word + side, preset.seed) + preset.seed, before)
     if given is not None:
         given = given.select(F.upper("probe_seq").alias("q")).where("q <> ''")

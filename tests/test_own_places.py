@@ -78,3 +78,28 @@ def test_what_stands_alone_is_not_searched(spark, rows, monkeypatch):
         found = align_mined(genome, config(**LOOSE), given, k=2, longest=longest, change=change)
         assert found.count() > (4_500 if name in ("none", "mismatch") else 0)
         assert 0 < len(searched) < 500 and (dna(35, 33),) not in searched and (text[3_000:3_035],) in searched
+
+
+def test_words_in_common_are_no_seeds(spark, rows, monkeypatch):
+    """Stretches in common that are shorter than a seed, though longer than its words, send no probe to the search."""
+    from hybrispark.operators import own_places
+
+    searched = []
+    monkeypatch.setattr(own_places, "align", lambda asked, *args, **settings: searched.extend(rows(asked)) or align(asked, *args, **settings))
+    text = dna(5_000, 40)
+    unlike = lambda a: text[a].translate(str.maketrans("ACGT", "CGTA"))
+    other = "".join(unlike(a - 1) + text[a : a + 18] + unlike(a + 18) + dna(20, 41 + a) for a in range(60, 4_800, 60))
+    genome = spark.createDataFrame([("a", text), ("b", other)], "seq_id string, seq string")
+    assert align_mined(genome, config(**LOOSE), None, k=2, longest=37).count() > 4_500
+    assert not searched
+
+
+def test_numbers_are_packed():
+    import numpy as np
+
+    from hybrispark.operators import own_places
+
+    for n in (0, 1, 5, 70_000):
+        number = np.sort(np.random.default_rng(n).integers(0, 1 << 28, n))
+        blob = own_places._packed(number)
+        assert own_places._unpacked(blob).tolist() == number.tolist() and len(blob) < 2.2 * n + 520
